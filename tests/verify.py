@@ -32,12 +32,22 @@ def main(sf: str, names: list[str]) -> int:
         if names and name not in names:
             continue
         t = time.time()
-        got = f(spark, sf).toPandas()
+        try:
+            got = f(spark, sf).toPandas()
+        except Exception as e:  # noqa: BLE001
+            bad += 1
+            print(f"{name}: FAILED {str(e)[:400]}")
+            continue
         took = time.time() - t
         if name not in sql:
             print(f"{name}: {len(got)} rows, {took:.1f} s, no SQL, distinct {len(got) == len(set(map(str, got.itertuples(index=False))))}")
             continue
-        want = duck.execute(sql[name]).df()
+        try:
+            want = duck.execute(sql[name]).df()
+        except duckdb.Error as e:
+            bad += 1
+            print(f"{name}: SQL FAILED {str(e)[:400]}")
+            continue
         same = sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
         bad += not same
         print(f"{name}: {len(got)} rows, {took:.1f} s, {'same' if same else f'DIFFERS from {len(want)} rows; {got.columns.tolist()} {want.columns.tolist()}'}")
