@@ -68,11 +68,11 @@ def language(text: str) -> str:
 
 _line = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
 _fence = re.compile(r"\s*(`{3,}|~{3,})")
-_heading = re.compile(r"[\s﻿​]*#{1,6}(?:\s|$)")
+_heading = re.compile(r"[\s\ufeff\u200b]*#{1,6}(?:\s|$)")
 _bullet = re.compile(r"\s*([-*+•])[ \t]+(?=\S)")
 _numbered = re.compile(r"\s*(\d{1,4})[.)][ \t]+(?=\S)")
 _quote = re.compile(r"\s*(?:>[ \t]?)+")
-_stray = " \t\r\n\f\v\x00     ​‎‏   ⁠　﻿"
+_stray = " \t\r\n\f\v\x00\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x2010))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -93,7 +93,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
         m = _line.match(text, at)
         stop = m.end()
         a = at
-        while a < stop and text[a] in "﻿​⁠\x00":
+        while a < stop and text[a] in "\ufeff\u200b\u2060\x00":
             a += 1
         line = text[a:stop]
         at = stop
@@ -259,7 +259,7 @@ def learn(docs: DataFrame) -> dict[str, dict[str, set]]:
 _closers = "\"'”’»›」』）)]】》〉｣”"
 _open_close = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "‚": "‘"}
 _end = re.compile(r"[.!?。！？؟۔।॥｡…‼⁇⁈⁉]+")
-_thai_gap = re.compile(r"(?<=[฀-๿])[ \t 　]*(?:\r\n|\n|\r|[ \t 　])[ \t 　]*(?=[฀-๿])")
+_thai_gap = re.compile(r"(?<=[\u0e00-\u0e7f])[ \t\xa0\u3000]*(?:\r\n|\n|\r|[ \t\xa0\u3000])[ \t\xa0\u3000]*(?=[\u0e00-\u0e7f])")
 _opener = "\"'“„«‹「『（([【《¿¡‚`*_"
 _identifier = re.compile(r"[A-Za-z]\w*(?:_|[a-z][A-Z])\w*")
 _glued = re.compile(r"[\"'“„«(¿¡]?(?:[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]*(?=[\s,'’]|$)|[A-Za-z][a-z]*(?:_[a-z]+)+(?=\s)|[a-z]+[A-Z][A-Za-z]*(?=\s))")
@@ -331,7 +331,7 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             if s[e] == '"' and s.count('"', start, e) % 2 == 0:
                 break
             e += 1
-        if e < n - 1 and s[e] in "   " and s[e + 1] in "»":
+        if e < n - 1 and s[e] in " \xa0\u202f" and s[e + 1] == "»":
             e += 2  # French guillemets stand apart
         gap = e < n and s[e].isspace()
         i = e
