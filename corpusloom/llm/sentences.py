@@ -31,6 +31,8 @@ from corpusloom.session import saved
 
 #: Thresholds of the log-likelihood ratios (published values of the method) and the longest abbreviation in letters.
 ABBREVIATION, COLLOCATION, STARTER, LONGEST = 0.3, 7.88, 30.0, 9
+#: Times a type must occur with a period before it can be an abbreviation.
+EVIDENCE = 3
 #: Learned types that come to the driver; beyond it the rarest are left to the general rules.
 MODEL_ROWS = 200_000
 
@@ -229,7 +231,7 @@ def learn(docs: DataFrame) -> dict[str, dict[str, set]]:
     # rate of the period after this type against its rate overall
     strength = _ratio(F.col("cp"), total, F.col("periods") - F.col("cp"), F.col("tokens") - total)
     score = strength * F.exp(-letters) * dots * F.pow(letters, -F.col("cw").cast("double"))
-    abbreviations = saved(t.where(more & (score >= ABBREVIATION)).select("lang", "a", "cp"), "abbr")
+    abbreviations = saved(t.where(more & (score >= ABBREVIATION) & (F.col("cp") >= EVIDENCE)).select("lang", "a", "cp"), "abbr")
     pairs = of("b").select("lang", "a", "b", "n").join(F.broadcast(sums), "lang")
     known = abbreviations.select("lang", "a").withColumn("abbr", F.lit(True))
     small = abbreviations.count() <= MODEL_ROWS
