@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import chunking, symbols, text
 from corpusloom.functions.embedding import embedder, hash_provider
 from corpusloom.operators import changes, incremental, reports, search
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 FLAGSHIP = "hybrid_search"
 
@@ -166,7 +166,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path text to chunks over the documents; chunk borders are this engine's own, so there is no SQL."""
     d = table(spark, sf_dir, "documents").where("text is not null and path is not null")
     files = d.select(F.lit("docs").alias("project"), F.coalesce("source", F.lit("")).alias("repo"), F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), F.ltrim(text.extension(F.col("path")), F.lit(".")).alias("language"), F.col("kind").alias("content_type"), F.octet_length("text").cast("long").alias("file_size_bytes"), "text")
-    return chunking.chunk_rows(files).drop("embed_text")
+    return chunking.chunk_rows(spread(files)).drop("embed_text")
 
 
 def embedded_prs(spark: SparkSession, sf_dir: str) -> DataFrame:

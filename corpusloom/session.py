@@ -76,6 +76,8 @@ def discard_saved(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def input_partitions(df: DataFrame, least: int = 1) -> int:
-    """Shuffle partitions of the session, at least LEAST."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions where the scan gives fewer than the cluster has cores (one large row group), for work that costs more
+    than a shuffle of its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
