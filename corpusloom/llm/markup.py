@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.tokenize import text_slices
+from corpusloom.session import spread
 
 #: A node is (kind, text, depth); kinds: heading, list_item, code_block, formula, paragraph, row.
 Node = tuple[str, str, int]
@@ -658,7 +659,7 @@ def render(text: str | None, language: str | None = None) -> str | None:
 
 
 def _marked(chunks: DataFrame) -> DataFrame:
-    return chunks.where("content_type in ('wiki', 'pr') and id is not null").select("id", "language", "text")
+    return spread(chunks.where("content_type in ('wiki', 'pr') and id is not null").select("id", "language", "text"))
 
 
 def elements(chunks: DataFrame) -> DataFrame:

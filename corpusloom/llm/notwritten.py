@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tokenize import text_slices
-from corpusloom.session import saved
+from corpusloom.session import saved, spread
 
 RARE, CONTAINED, LINE_CHARS, HEAD_LINES = 8, 0.7, 12, 14
 FILE = ["project", "repo", "path"]
@@ -136,7 +136,7 @@ def line_hashes(rows: DataFrame) -> DataFrame:
 
 def not_hand_written(chunks: DataFrame) -> DataFrame:
     """project, repo, path of the files to leave out."""
-    code = chunks.where("content_type = 'code' and project is not null and repo is not null and path is not null").select("id", *FILE, "language", "text")
+    code = spread(chunks.where("content_type = 'code' and project is not null and repo is not null and path is not null").select("id", *FILE, "language", "text"))
     marks = saved(judged(code).distinct(), "marks")
     lines = saved(line_hashes(code).where("size(lines) > 0").dropDuplicates(["id"]), "lines")
     repos = marks.select(F.lower("repo").alias("lib")).distinct()

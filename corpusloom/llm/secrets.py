@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tokenize import text_slices
+from corpusloom.session import spread
 
 #: Most frequent words kept as the dictionary (a documented bound of the model), and their least length.
 VOCABULARY, WORD_LETTERS, LONGEST = 30_000, 3, 20
@@ -47,7 +48,7 @@ _access_id = re.compile(r"(?i)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-
 _hint = re.compile(r"""(?i)pass|pwd|secret|token|auth|cred|key|bearer|basic |://|-----begin|\bname:|\b(?:role|user)\s|[=:]\s*["'`]?(?=[^\s"'`]{0,60}\d)[^\s"'`,;(){}\[\]<>]{16,}""")
 
 _labels = re.compile(r"(?i)(?:^|_)(?:label|name|hint|title|text|message|msg|prompt|policy|length|len|count|limit|size|min|max|ttl|expiry|timeout|field|column|type|kind|path|file|dir|enabled|required|id|ids|url|uri|host|format|regex|pattern|header_name|placeholder)$")
-_password = re.compile(r"(?i)pass(?:w(?:or)?d|phrase|_phrase|code)?(?:$|_|\d)|pwd|passwd|password|passphrase")
+_password = re.compile(r"(?i)pass(?:w(?:or)?d|phrase|_phrase|code)?(?:$|_|\d)|(?:^|_)pw(?:$|_)|pwd|passwd|password|passphrase")
 _tokens = re.compile(r"(?i)secret|token|api_?key|apikey|access_?key|private_?key|signing|auth|cred(?:ential)?s?(?:$|_)|bearer|session_?key|encryption_?key|(?:^|_)key$|salt$")
 _hashes = re.compile(r"(?i)sha\d*(?:$|_)|checksum|digest|integrity|commit|(?:^|_)hash|etag|fingerprint|md5|uuid|guid|request_?id|trace_?id|correlation|revision|icon|image|logo|font|public_?key|certificate|(?:^|_)cert(?:$|_)|thumbprint|version|nonce_?id|build_?id|object_?id")
 _uuid = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
@@ -218,7 +219,7 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 def found_secrets(chunks: DataFrame) -> DataFrame:
     """id, secret, redacted (the whole text with all its secrets replaced) of code chunks with secrets."""
-    code = chunks.where("content_type = 'code' and id is not null and text is not null").select("id", "language", "text")
+    code = spread(chunks.where("content_type = 'code' and id is not null and text is not null").select("id", "language", "text"))
     counts = code.sparkSession.sparkContext.broadcast(word_counts(code))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tokenize import spread, text_slices
-from corpusloom.session import saved
+from corpusloom.llm.tokenize import text_slices
+from corpusloom.session import saved, spread
 
 #: Thresholds of the log-likelihood ratios (published values of the method) and the longest abbreviation in letters.
 ABBREVIATION, COLLOCATION, STARTER, LONGEST = 0.3, 7.88, 30.0, 9

@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from corpusloom.session import spread
+
 #: Where the vocabulary files lie; a parameter of every function that reads one.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -101,12 +103,6 @@ def encode(enc, text: str) -> np.ndarray:
     return np.asarray(out, dtype=np.uint32)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions where the scan gives fewer than the cluster has cores (one large row group)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut where their texts exceed CHARS bytes, so that a worker's memory stays bounded."""
     for batch in batches:
