@@ -38,21 +38,23 @@ MODEL_ROWS = 200_000
 
 _words = {
     "en": "the and of to is in that it with as for on before without".split(),
-    "de": "der die das und ist den von mit ein eine nicht auf dem im".split(),
-    "fr": "le la les et est des du une dans que pour sur pas sans".split(),
-    "es": "el la los y es de del una en que por con sin tras".split(),
+    "de": "der die das und ist den von mit ein eine nicht auf dem im am bei vom zum zur nach ohne um wie warum er sie siehe".split(),
+    "fr": "le la les et est des du une dans que pour sur pas sans après avant pendant sous voir pourquoi".split(),
+    "es": "el la los y es de del una en que por con sin tras antes durante véase".split(),
 }
 _languages = list(_words)
 _votes: dict[str, list[str]] = {}
 for _name, _list in _words.items():
     for _w in _list:
         _votes.setdefault(_w, []).append(_name)
+#: Letters that only one of the Latin languages has.
+_letters = {"de": "äöüßÄÖÜ", "fr": "èêçàùœîôâ", "es": "ñ¿¡áíóú"}
 #: Blocks of 128 code points of each script: kana, Han, Thai, Arabic, Devanagari, Cyrillic.
 _scripts = [("ja", range(0x3000 + 0x80 >> 7, 0x3100 >> 7)), ("zh", range(0x4E00 >> 7, 0xA000 >> 7)), ("th", range(0x0E00 >> 7, 0x0E80 >> 7)), ("ar", range(0x0600 >> 7, 0x0700 >> 7)), ("hi", range(0x0900 >> 7, 0x0980 >> 7)), ("ru", range(0x0400 >> 7, 0x0500 >> 7))]
 
 
 def language(text: str) -> str:
-    """Language of a prose text: the script that holds a share of its characters, else the most function words."""
+    """Language of prose: the script that holds a share of its characters, else the most function words."""
     if not text.isascii():
         units = np.bincount(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) >> 7, minlength=512)
         for name, at in _scripts:
@@ -60,6 +62,9 @@ def language(text: str) -> str:
             if found >= 8 and found * 30 >= len(text) or found * 3 > len(text):
                 return name
     votes = dict.fromkeys(_languages, 0)
+    if not text.isascii():
+        for name, letters in _letters.items():
+            votes[name] += sum(map(text.count, letters))
     for word, n in Counter(text.lower().split()).items():
         for name in _votes.get(word, ()):
             votes[name] += n
@@ -170,10 +175,11 @@ def count_types(texts: Iterator[str]) -> Counter:
     pairs: dict[str, Counter] = {}
     total: Counter = Counter()
     for text in texts:
-        lang = language(text)
+        parts = [text[a:b] for a, b in blocks(text)]
+        lang = language("\n".join(parts))
         c, p = raw.setdefault(lang, Counter()), pairs.setdefault(lang, Counter())
-        for a, b in blocks(text):
-            tokens = text[a:b].split()
+        for part in parts:
+            tokens = part.split()
             c.update(tokens)
             p.update([(x, y) for x, y in zip(tokens, tokens[1:]) if x[-1] == "."])
     for lang, p in pairs.items():
@@ -449,12 +455,12 @@ def _ends(s: str, start: int, a: int, e: int, i: int, lang: str, abbr: set, coll
     if short or initial:
         if lower or c.isdigit():
             return False
-        if (first, second) in coll and second not in begin:
+        if (first, second) in coll and second not in begin or initial and len(core.rstrip(_edge)) == 1:
             return False
         if lang in ("hi", "ar", "th", "zh", "ja"):
             return False
         # after an abbreviation a known starter, a quotation or an identifier begins a sentence
-        if second in begin and (first, second) not in coll:
+        if second in begin:
             return True
         if nxt[0] in "«„“\"¿¡(":
             return not initial
@@ -468,10 +474,11 @@ def sentences_of(text: str | None, model: dict[str, dict[str, set]] | None = Non
     """1-based positions of the first and last character of every sentence."""
     if not text:
         return []
-    lang = language(text)
+    spans = blocks(text)
+    lang = language("\n".join(text[a:b] for a, b in spans))  # code and headings may be in another language
     stats = (model or {}).get(lang)
     out = []
-    for a, b in blocks(text):
+    for a, b in spans:
         out += [(a + x + 1, a + y) for x, y in split(text[a:b], lang, stats)]
     return out
 
