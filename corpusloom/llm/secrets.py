@@ -4,7 +4,8 @@ A dictionary of the words that identifiers of the whole corpus consist of is cou
 contexts (key and value, headers, connection strings, URLs, name and value pairs, comments) are then segmented into
 dictionary words by Viterbi; what no word, separator or trailing number explains is the residual. A value whose residual
 is long is a secret unless it has a known format of hashes, ids or public data; under a key that names a password an
-explained value with a digit or sign counts too. Placeholders and references never count.
+explained value with a digit or sign counts too. Placeholders and references never count. Values have any length; a
+literal that is no secret is searched for pairs within it.
 
 Redaction replaces the characters of the secrets and nothing else; line breaks within private keys stay.
 
@@ -35,7 +36,7 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _private = re.compile(r"-----BEGIN[ \t]+(?:[A-Z0-9]+[ \t]+)*PRIVATE[ \t]+KEY(?:[ \t]+BLOCK)?-----.*?-----END[ \t]+(?:[A-Z0-9]+[ \t]+)*PRIVATE[ \t]+KEY(?:[ \t]+BLOCK)?-----", re.S | re.I)
 _public = re.compile(r"-----BEGIN[ \t]+(?:[A-Z0-9]+[ \t]+)*(?:PUBLIC[ \t]+KEY|CERTIFICATE(?:[ \t]+REQUEST)?)-----.*?(?:-----END[^\n]*?-----|\Z)", re.S | re.I)
 _pair = re.compile(
-    r"""(?P<key>[A-Za-z_][\w.\-]*)["'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:(?P<q>["'`])(?P<a>(?:(?!(?P=q))[^\n\\]|\\.){6,400})(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,300}))"""
+    r"""(?P<key>[A-Za-z_][\w.\-]*)["'`]?[ \t]*(?::=|=>|=|:)[ \t]*(?:(?P<q>["'`])(?P<a>(?:(?!(?P=q))[^\n\\]|\\.){6,}+)(?P=q)|(?P<b>[^\s"'`,;(){}\[\]<>]{6,}))"""
 )
 _named = re.compile(r"""(?i)\bname:[ \t]*["']?(?P<key>[\w.\-]+)["']?[ \t]*\r?\n\s*value:[ \t]*(?:(?P<q>["'])(?P<a>[^\n]*?)(?P=q)|(?P<b>\S+))""")
 _role = re.compile(r"""(?i)\b(?:ROLE|USER)\s+["'`]?(?P<key>\w+?)["'`]?\s+(?:WITH\s+)?(?:LOGIN\s+)?(?:ENCRYPTED\s+)?(?:PASSWORD|IDENTIFIED\s+BY)\s+'(?P<a>[^'\n]+)'""")
@@ -53,6 +54,7 @@ _tokens = re.compile(r"(?i)secret|token|api_?key|apikey|access_?key|private_?key
 _hashes = re.compile(r"(?i)sha\d*(?:$|_)|checksum|digest|integrity|commit|(?:^|_)hash|etag|fingerprint|md5|uuid|guid|request_?id|trace_?id|correlation|revision|icon|image|logo|font|public_?key|certificate|(?:^|_)cert(?:$|_)|thumbprint|version|nonce_?id|build_?id|object_?id")
 _uuid = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 _hex = re.compile(r"(?i)[0-9a-f]+")
+_solid = re.compile(r"[A-Za-z0-9+/=_.~\-]+")
 _formats = re.compile(r"(?i)(?:sha(?:1|224|256|384|512)|md5)[-:]|data:|ssh-(?:rsa|ed25519|dss) |\$2[aby]\$|0x[0-9a-f]+$|https?://|[a-z][a-z0-9+.\-]*://|\.{0,2}/")
 _placeholder = re.compile(
     r"(?i)\$\{|\$\(|\{\{|<[^>]*>|%\(|%[A-Z_]+%|^\$[A-Z_]|^[*x.\-#?]{3,}$|^x{4,}|\*{3,}|change_?me|redacted|placeholder|^(?:your|my|the|some|insert|enter|replace)[-_ ]|example|dummy|^todo|not[-_ ]?(?:set|a[-_ ]real)|^(?:none|null|nil|true|false|undefined|empty|password|secret|token|passw0rd|test|user|username|hidden|masked|unset)$|vault[:_/]|^(?:os\.|process\.|env[.\[:(]|getenv|config\.|settings\.|var\.|local\.|data\.|module\.|secrets?\.|ref\+|arn:|ssm:|op://)"
@@ -127,7 +129,7 @@ class Segmenter:
 
 def is_secret(key: str, value: str, quoted: bool, plain: bool, seg: Segmenter) -> bool:
     """Whether VALUE under KEY is a secret. plain: unquoted values are literals in this language."""
-    if len(value) < 6 or " " in value or _placeholder.search(value) or _formats.match(value) or _uuid.fullmatch(value):
+    if len(value) < 6 or " " in value:
         return False
     bare = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key).lower().replace("-", "_").replace(".", "_").strip("_")
     if _hashes.search(bare):
@@ -135,6 +137,10 @@ def is_secret(key: str, value: str, quoted: bool, plain: bool, seg: Segmenter) -
     password, token = _password.search(bare), _tokens.search(bare)
     if _labels.search(bare) and not bare.endswith("access_key_id"):
         return False
+    if not (password or token) and not _solid.fullmatch(value):  # before the costly checks: an unquoted run may hold many pairs
+        return False
+    if _placeholder.search(value) or _formats.match(value) or _uuid.fullmatch(value):
+        return False
     if password:
         if not (quoted or plain):
             return False
@@ -148,7 +154,7 @@ def is_secret(key: str, value: str, quoted: bool, plain: bool, seg: Segmenter) -
         return left >= RESIDUAL_NAMED and (quoted or plain or left >= RESIDUAL_ANY) and left >= 0.4 * len(value)
     if _hex.fullmatch(value) or value.count("/") > 3 and "." in value:
         return False
-    return left >= RESIDUAL_ANY and left >= 0.6 * len(value) and re.fullmatch(r"[A-Za-z0-9+/=_.~\-]+", value) is not None
+    return left >= RESIDUAL_ANY and left >= 0.6 * len(value)
 
 
 _PLAIN = {"env", "ini", "yml", "yaml", "properties", "toml", "conf", "cfg", "tf", "sh", ""}
@@ -192,20 +198,25 @@ def secrets_of(text: str, language: str | None, seg: Segmenter) -> list[tuple[in
                 add(*m.span(group))
             elif m.group(group):
                 taken.append(m.span(group))
-    at = 0
-    while m := _pair.search(text, at):
-        group = "a" if m.group("a") is not None else "b"
-        a, b = m.span(group)
-        value = text[a:b]
-        if group == "b":
-            # a key may stand inside an unquoted run such as //host/:_authToken=value
-            at = a if "=" in value or ":" in value else b
-            value = value.rstrip(".,:;)")
-            b = a + len(value)
-        else:
-            at = b
-        if free(a, b) and is_secret(m.group("key"), value, group == "a", plain, seg):
-            add(a, b)
+
+    def pairs(at: int, end: int) -> None:
+        while m := _pair.search(text, at, end):
+            group = "a" if m.group("a") is not None else "b"
+            a, b = m.span(group)
+            value = text[a:b]
+            if group == "b":
+                # a key may stand inside an unquoted run such as //host/:_authToken=value
+                at = a if "=" in value or ":" in value else b
+                value = value.rstrip(".,:;)")
+                b = a + len(value)
+            else:
+                at = b
+            if free(a, b) and is_secret(m.group("key"), value, group == "a", plain, seg):
+                add(a, b)
+            elif group == "a":
+                pairs(a, b)  # a literal of any length may itself hold pairs
+
+    pairs(0, len(text))
     return sorted(spans)
 
 

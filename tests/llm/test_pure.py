@@ -127,6 +127,16 @@ def test_secrets(text, language, want):
     assert len(clean) == len(text) and all(w not in clean for w in want) and clean.count("\n") == text.count("\n")
 
 
+def test_long_secrets_are_whole():
+    rng = random.Random(3)
+    value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(5000))
+    for text, language in ((f'api_token = "{value}"', "py"), (f"API_TOKEN={value}", "env"), (f'x = 1\napi_token: "{value}"\ny', "yml")):
+        spans = secrets.secrets_of(text, language, SEG)
+        assert [text[a:b] for a, b in spans] == [value] and value[-50:] not in secrets.redact(text, spans)
+    inner = "a = '" + "some words; " * 60 + 'password="Maple5310"; ' + "'"
+    assert [inner[a:b] for a, b in secrets.secrets_of(inner, "py", SEG)] == ["Maple5310"]
+
+
 MODEL = {"en": {"abbr": {"approx", "e.g", "dr", "etc", "fig"}, "coll": {("dr", "pallet")}, "start": {"the", "it"}}}
 
 
