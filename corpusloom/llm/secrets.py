@@ -46,7 +46,6 @@ _hook = re.compile(r"""(?i)https?://[^\s/"'`]+/services/[A-Z0-9]{6,}/[A-Z0-9]{6,
 _basic_user = re.compile(r"""(?i)(?:^|\s)(?:-u|--user)[ =]["']?[^\s:"']+:(?P<a>[^\s"']{6,})""")
 _header = re.compile(r"""(?i)\b(?:bearer|basic)[ \t]+(?P<a>[A-Za-z0-9+/=_.~\-]{12,})""")
 _access_id = re.compile(r"(?i)(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_hint = re.compile(r"""(?i)pass|pwd|secret|token|auth|cred|key|bearer|basic |://|-----begin|\bname:|\b(?:role|user)\s|[=:]\s*["'`]?(?=[^\s"'`]{0,60}\d)[^\s"'`,;(){}\[\]<>]{16,}""")
 
 _labels = re.compile(r"(?i)(?:^|_)(?:label|name|hint|title|text|message|msg|prompt|policy|length|len|count|limit|size|min|max|ttl|expiry|timeout|field|column|type|kind|path|file|dir|enabled|required|id|ids|url|uri|host|format|regex|pattern|header_name|placeholder)$")
 _password = re.compile(r"(?i)pass(?:w(?:or)?d|phrase|_phrase|code)?(?:$|_|\d)|(?:^|_)pw(?:$|_)|pwd|passwd|password|passphrase")
@@ -162,7 +161,7 @@ _PLAIN = {"env", "ini", "yml", "yaml", "properties", "toml", "conf", "cfg", "tf"
 
 def secrets_of(text: str, language: str | None, seg: Segmenter) -> list[tuple[int, int]]:
     """Spans of the secrets of a text."""
-    if not text or not _hint.search(text):
+    if not text:
         return []
     spans: list[tuple[int, int]] = [m.span() for m in _private.finditer(text)]
     taken = spans + [m.span() for m in _public.finditer(text)]
