@@ -1,9 +1,12 @@
 """Files nobody wrote by hand (problem 2): generated, minified, vendored, or data stored as code.
 
 Vendored files: files in a dependency folder or under a third-party banner are seeds and name a library. The inverted
-index holds the seeds' lines (hash of the letters and digits, so layout does not matter) that are rare: they occur under at
-most RARE different file names, however many repositories hold copies. Every file's lines are looked up in it, and a file
-of which a share of CONTAINED or more of the lines lies in a library of another repository is a copy, edited or not.
+index holds the seeds' lines (hash of the letters and digits, so layout does not matter). Every file's lines are looked up
+in it, and a file of which a share of CONTAINED or more of the lines lies in a library of another repository is a copy,
+edited or not. Common lines are left out of that share: those of more than RARE (in large collections SHARE of all)
+unrelated files or libraries. A file of which a library holds RELATED or more of the lines is related to it and makes no
+line common, however many copies there are and whatever their names; where fewer than three rare lines agree, the whole
+line set has to agree too.
 A library named like a repository of the collection is a first-party copy: it counts where it is kept as a dependency, but
 the original and pasted pieces do not.
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.tokenize import text_slices
 from corpusloom.session import saved, spread
 
-RARE, CONTAINED, LINE_CHARS, HEAD_LINES = 8, 0.7, 12, 14
+RARE, SHARE, RELATED, CONTAINED, LINE_CHARS, HEAD_LINES = 8, 0.001, 0.5, 0.7, 12, 14
 FILE = ["project", "repo", "path"]
 
 # Customary names of dependency folders and of tools' output files.
@@ -144,9 +147,22 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
     flat = lines.select("id", *FILE, F.explode("lines").alias("line"))
     indexed = flat.join(seeds, "id").groupBy("line", "lib").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"))
     hits = saved(flat.join(indexed, "line"), "hits")
-    rare = hits.groupBy("line").agg(F.approx_count_distinct(F.regexp_extract("path", r"[^/]*$", 0)).alias("names")).where(F.col("names") <= RARE).select("line")
-    common = hits.join(rare, "line", "left_anti").select("id", *FILE, "line").distinct().groupBy(*FILE).agg(F.count("*").alias("common"))
-    found = hits.where("repo <> r1 or repo <> r2").join(rare, "line", "left_semi").groupBy(*FILE, "lib").agg(F.count("*").alias("found"))
+    foreign = (F.col("repo") != F.col("r1")) | (F.col("repo") != F.col("r2"))
     total = lines.groupBy(*FILE).agg(F.sum(F.size("lines")).alias("total"))
-    copies = found.join(total, FILE).join(common, FILE, "left").where(F.col("found") >= CONTAINED * (F.col("total") - F.coalesce("common", F.lit(0)))).where("found >= 3").select(*FILE)
+    shares = saved(hits.groupBy(*FILE, "lib").agg(F.count("*").alias("held"), F.count_if(foreign).alias("whole")).join(total, FILE), "shares")
+    common_lines = saved(common(hits, shares, total.count()), "common")
+    skipped = hits.join(common_lines, "line", "left_semi").select("id", *FILE, "line").distinct().groupBy(*FILE).agg(F.count("*").alias("skipped"))
+    found = hits.where(foreign).join(common_lines, "line", "left_anti").groupBy(*FILE, "lib").agg(F.count("*").alias("found"))
+    judged_by = shares.where("whole >= 3").join(skipped, FILE, "left").join(found, [*FILE, "lib"], "left").na.fill(0, ["skipped", "found"])
+    # where fewer than three rare lines agree, the whole line set decides
+    copies = judged_by.where(F.col("found") >= CONTAINED * (F.col("total") - F.col("skipped"))).where((F.col("found") >= 3) | (F.col("whole") >= CONTAINED * F.col("total"))).select(*FILE)
     return marks.where("shown").select(*FILE).unionByName(copies).distinct()
+
+
+def common(hits: DataFrame, shares: DataFrame, files: int) -> DataFrame:
+    """line: the lines that too many unrelated files or different libraries hold; exact counts."""
+    related = shares.where(F.col("held") >= RELATED * F.col("total")).select(*FILE).distinct()
+    unrelated = hits.join(related, FILE, "left_anti").select("line", *FILE).distinct().groupBy("line").count().where(F.col("count") > max(RARE, files * SHARE))
+    libraries = shares.select("lib").distinct().count()
+    many = hits.select("line", "lib").distinct().groupBy("line").count().where(F.col("count") > max(RARE, libraries * SHARE))
+    return unrelated.select("line").union(many.select("line")).distinct()

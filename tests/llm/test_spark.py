@@ -95,6 +95,22 @@ def test_not_hand_written(spark):
     assert notwritten.not_hand_written(rows(spark, data).limit(0)).count() == 0
 
 
+def test_a_library_copied_under_many_names(spark):
+    letters = "kqzbxwvjyfghpmdnlrst"
+    lib = "\n".join(f"def function_named_{c}(argument_{c}):" for c in letters)
+    usual = [f"import usual_module_{c}" for c in letters[:6]]
+    data = [dict(id="seed", repo="r0", path="third_party/lib/a.py", text=lib + "\n" + "\n".join(usual))]
+    data += [dict(id=f"c{i}", repo=f"r{i + 1}", path=f"src/name{i}.py", text=lib.upper() + "\nedited_line_here = 1") for i in range(12)]
+    # six lines of the library are usual ones: no copy, though most lines of the short file agree
+    data += [dict(id=f"u{i}", repo="own", path=f"u{i}.py", text="\n".join(usual + [f"own_statement_{c}_{'xyzvwabcdefg'[i]} = 1" for c in letters])) for i in range(12)]
+    data += [dict(id="short", repo="own", path="short.py", text="\n".join([*usual, "short_statement_one = 1", "short_statement_two = 1"]))]
+    # a library kept under many names of dependency folders has no rare line at all
+    kept = lib.replace("function", "procedure")
+    data += [dict(id=f"k{i}", repo=f"k{i}", path=f"vendor/kept{'abcdefghijkl'[i]}/k.py", text=kept) for i in range(12)] + [dict(id="kc", repo="r1", path="lib/k.py", text=kept)]
+    got = {(r["repo"], r["path"]) for r in notwritten.not_hand_written(rows(spark, data)).collect()}
+    assert got == {("r0", "third_party/lib/a.py"), ("r1", "lib/k.py")} | {(f"r{i + 1}", f"src/name{i}.py") for i in range(12)} | {(f"k{i}", f"vendor/kept{'abcdefghijkl'[i]}/k.py") for i in range(12)}
+
+
 def test_elements_and_secrets(spark):
     c = rows(spark, [dict(id="1", content_type="wiki", language="md", text="# A"), dict(id="1", content_type="wiki", language="md", text="# A"), dict(id="2", content_type="pr", text=None), dict(id="3", text='password = "Maple5310"\nx = 1'), dict(id="4", text=None), dict(id="5", content_type=None, text="# B")])
     assert list(map(tuple, markup.elements(c).collect())) == [("1", "heading", "A")]
