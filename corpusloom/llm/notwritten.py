@@ -45,6 +45,7 @@ _folder = re.compile(r"(?i)(?:^|/)(?:%s)/(?:_workspace/)?(?:src/)?([^/]+)/" % "|
 _version = re.compile(r"[-@]v?\d[\w.]*$")
 _generated_name = re.compile("(?i)" + GENERATED_NAMES)
 _comment = re.compile(r"^\s*(?://|#|--|/\*|\*|<!--|;|%|\"\"\"|''')")
+_blocks = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 _generated = re.compile(
     r"(?i)^\W*(?:<auto-?generated\b|(?:this (?:file|code) (?:was|is) )?(?:automatically |auto-?)generated\b(?!.*\b(?:header|client|copy|stub)s?\b.*\bfor\b)|(?:this (?:file|code) (?:was|is) )?generated (?:by|from|on|with|using)\b|code generated (?:by|from)\b|@generated\b"
     r"|.*\b(?:do not|don't) (?:edit|modify|change)\b.*|.*\bmanual changes? (?:gets?|will be) (?:overwritten|lost)\b|.*\bthis code was (?:produced|generated) by\b|.*changes (?:to this file )?will be lost\b)"
@@ -58,13 +59,35 @@ _ints = re.compile(r"\d+")
 _source_map = re.compile(r"(?m)^\s*(?://|/\*)[#@]\s*sourceMappingURL=")
 
 
+def head(lines: list[str]) -> Iterator[tuple[str, bool]]:
+    """The head of a file, (line, whether it is a comment): the leading comments however long, HEAD_LINES further lines, and
+    the rest of the comments that begin among these."""
+    left, code, end, before = HEAD_LINES, False, "", True
+    for line in lines:
+        inside, text = end, line.strip()
+        if inside:
+            end = "" if inside in text else inside
+        else:
+            start = next((x for x in _blocks if text.startswith(x)), "")
+            end = _blocks[start] if start and _blocks[start] not in text[len(start) :] else ""
+        comment = bool(_comment.match(line))
+        quiet = bool(inside) or comment or not text
+        code = code or not quiet
+        if code and left:
+            left -= 1
+        elif code and not (quiet and before):
+            return
+        before = quiet
+        # lines within a docstring lengthen the head but are no comments
+        yield line, comment or inside in ("*/", "-->")
+
+
 def is_generated(path: str, text: str, language: str | None) -> bool:
     if _generated_name.search(path):
         return True
     lines = text.splitlines()
-    for line in lines[:HEAD_LINES]:
-        if _comment.match(line) and _generated.match(line):
-            return True
+    if any(comment and _generated.match(line) for line, comment in head(lines)):
+        return True
     return (language or "").lower() not in CONFIG and numbered(lines)
 
 
@@ -110,8 +133,7 @@ def dependency(path: str, text: str) -> tuple[str | None, bool]:
         return _version.sub("", m.group(1)).lower(), True
     if _folder.search(path + "/") or re.search(r"(?i)(?:^|/)(?:%s)/[^/]+$" % "|".join(map(re.escape, DEPENDENCY_FOLDERS.split())), path):
         return path.rsplit("/", 1)[-1].lower(), True
-    head = "\n".join(text.split("\n", HEAD_LINES)[:HEAD_LINES])
-    m = _banner.search(head)
+    m = _banner.search("\n".join(line for line, _ in head(text.splitlines())))
     return (next(g for g in m.groups() if g).lower(), True) if m else (None, False)
 
 

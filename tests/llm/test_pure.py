@@ -198,3 +198,17 @@ def test_not_written_rules():
     assert notwritten.dependency("src/_vendor/lib-1.2/a.go", "")[0] == "lib" and notwritten.dependency("src/vendors/a.go", "") == (None, False)
     assert notwritten.dependency("a.py", "# lib v1.2.3\n# https://lib.example/license\n")[0] == "lib"
     assert notwritten.is_generated("src/" + "a.go", "", None) is False
+
+
+def test_markers_behind_long_licences():
+    mark, banner = "Code generated by t. DO NOT EDIT.", "@license lib@1.2"
+    words = [f"Licence text of the holder, clause {c}" for c in "abcdefghijklmnopqrstuvwxyzabcd"]
+    block, slashes = "/*\n" + "\n".join("   " + w for w in words) + "\n*/\n", "".join(f"// {w}\n" for w in words)
+    for lead in (slashes, block, slashes + "\n", "<?php\n" + block, block + "package x;\n\n", "/*\n" + "\n".join(" * " + w for w in words) + "\n */\n"):
+        assert notwritten.is_generated("a.go", f"{lead}// {mark}\nx = 1\n", "go"), lead
+        assert notwritten.dependency("a.go", f"{lead}// {banner}\nx = 1\n") == ("lib", True), lead
+    for inside in (mark, banner):
+        text = block.replace("*/", inside + "\n*/") + "x = 1\n"
+        assert notwritten.is_generated("a.go", text, "go") == (inside == mark) and notwritten.dependency("a.go", text)[1] == (inside == banner)
+    code = "".join(f"x{c} = step(y{c})\n" for c in "abcdefghijklmn")
+    assert not notwritten.is_generated("a.go", f"{slashes}{code}// do not change the order of these\n", "go")
