@@ -163,8 +163,9 @@ def upserted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole path text to chunks over the documents; chunk borders are this engine's own, so there is no SQL."""
-    d = table(spark, sf_dir, "documents").where("text is not null and path is not null")
+    """The whole path text to chunks over the documents; chunk borders are this engine's own, so there is no SQL. A document
+    without a path has an empty one and no language."""
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("path", F.coalesce("path", F.lit("")))
     files = d.select(F.lit("docs").alias("project"), F.coalesce("source", F.lit("")).alias("repo"), F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), F.ltrim(text.extension(F.col("path")), F.lit(".")).alias("language"), F.col("kind").alias("content_type"), F.octet_length("text").cast("long").alias("file_size_bytes"), "text")
     return chunking.chunk_rows(spread(files)).drop("embed_text")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.api import Api, Tools
 from corpusloom.functions.embedding import hash_provider
 from corpusloom.operators.changes import index_plan
-from corpusloom.plans import indexing
+from corpusloom.plans import indexing, queries
 from corpusloom.sources import config, files, git
 from corpusloom.sources import pull_requests as pr
 from corpusloom.store import IndexNotReady, Store
@@ -125,3 +125,12 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema(pr.SCHEMA).parquet(str(tmp_path / "in"))
         pull_request_stream.start(stream, store, hash_provider, str(tmp_path / "cp")).awaitTermination()
     assert store.read("chunks").count() == 1 and store.read("pr_state").first()["last_pr_id"] == 4
+
+
+def test_documents_without_a_path_are_chunked(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(600))
+    data = [(1, words, "s", "wiki", None), (2, "def f():\n    return 1", None, "code", "a/b.py"), (3, "short", "s", None, None), (4, None, "s", "wiki", None), (5, "", "s", "wiki", None)]
+    spark.createDataFrame(data, "doc_id bigint, text string, source string, kind string, path string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.document_chunks(spark, str(tmp_path)).collect()
+    assert {(r["path"], r["language"]) for r in got} == {("1/", ""), ("2/a/b.py", "py"), ("3/", "")}
+    assert len({r["id"] for r in got}) == len(got) and set(words.split()) <= set(" ".join(r["text"] for r in got if r["path"] == "1/").split())
