@@ -29,6 +29,8 @@ from corpusloom.session import saved
 
 DIM, SAMPLE, CANDIDATES = 96, 24_000, 160
 ROWS_A_CELL, LARGEST_K = 3, 1024
+#: Nearest centroids of each half that are sorted at first.
+WIDTH = 64
 BLOCK_ROWS, BLOCK_QUERIES, ROWS_A_BLOCK = 16_384, 65_536, 8192
 
 
@@ -83,8 +85,9 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(1) - 2 * (x @ c.T)
 
 
-def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts: list[int], k: int, want: int) -> list[int]:
-    """Cells by rising summed distance until they hold WANT vectors: the multi-sequence traversal."""
+def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts: list[int], k: int, want: int, whole: bool = True) -> list[int] | None:
+    """Cells by rising summed distance until they hold WANT vectors: the multi-sequence traversal. Lists that are not WHOLE
+    give None if their end is reached before."""
     heap = [(d1[0] + d2[0], 0, 0)]
     cells, got = [], 0
     m, n = len(l1), len(l2)
@@ -94,6 +97,8 @@ def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts:
         if counts[c]:
             cells.append(c)
             got += counts[c]
+        if not whole and got < want and (j + 1 == n or j == 0 and i + 1 == m):
+            return None
         if j + 1 < n:
             heapq.heappush(heap, (d1[i] + d2[j + 1], i, j + 1))
         if j == 0 and i + 1 < m:
@@ -101,6 +106,25 @@ def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts:
     return cells
 
 
+def cells_of(d1: np.ndarray, d2: np.ndarray, counts: list[int], k: int, want: int, width: int = WIDTH) -> Iterator[list[int]]:
+    """The cells of every row of distances to the centroids of both halves: first from the WIDTH nearest centroids of each
+    half, and from all of them where those do not suffice."""
+    width = min(k, width)
+    near = []
+    for d in (d1, d2):
+        o = np.argpartition(d, width - 1, axis=1)[:, :width] if width < k else np.tile(np.arange(k), (len(d), 1))
+        v = np.take_along_axis(d, o, 1)
+        s = np.argsort(v, axis=1)
+        near.append((np.take_along_axis(o, s, 1).tolist(), np.take_along_axis(v, s, 1).tolist()))
+    (l1, v1), (l2, v2) = near
+    for i in range(len(d1)):
+        cells = walk(l1[i], v1[i], l2[i], v2[i], counts, k, want, width == k)
+        if cells is None:
+            o1, o2 = np.argsort(d1[i]), np.argsort(d2[i])
+            cells = walk(o1.tolist(), d1[i][o1].tolist(), o2.tolist(), d2[i][o2].tolist(), counts, k, want)
+        yield cells
+
+
 def as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
@@ -177,22 +201,14 @@ def probes(index: DataFrame, model, counts, dim: int, want: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, half = model.value, dim // 2
         k, n, block = m["k"], counts.value.tolist(), m["block"].tolist()
-        width = min(k, 64)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 x = unpacked(batch.column(1).to_pylist(), dim)
-                near = []
-                for d in (distances(x[:, :half], m["c1"]), distances(x[:, half:], m["c2"])):
-                    o = np.argpartition(d, width - 1, axis=1)[:, :width] if width < k else np.tile(np.arange(k), (len(d), 1))
-                    v = np.take_along_axis(d, o, 1)
-                    s = np.argsort(v, axis=1)
-                    near.append((np.take_along_axis(o, s, 1).tolist(), np.take_along_axis(v, s, 1).tolist()))
-                (l1, d1), (l2, d2) = near
                 rows, blocks, cells = [], [], []
-                for i in range(len(x)):
+                for i, mine in enumerate(cells_of(distances(x[:, :half], m["c1"]), distances(x[:, half:], m["c2"]), n, k, want)):
                     by: dict[int, list[int]] = {}
-                    for c in walk(l1[i], d1[i], l2[i], d2[i], n, k, want):
+                    for c in mine:
                         by.setdefault(block[c // k], []).append(c)
                     for b, cs in by.items():
                         rows.append(i)

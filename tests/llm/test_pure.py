@@ -70,6 +70,18 @@ def test_walk_is_in_order():
     assert sorted(cells) == list(range(k * k)) and sums == sorted(sums)
 
 
+def test_cells_beyond_the_sorted_centroids():
+    """Few sorted centroids give the cells that all of them give, also where the near cells are empty."""
+    rng = np.random.default_rng(5)
+    k = 96
+    d1, d2 = rng.random((20, k)), rng.random((20, k))
+    for counts in ([1] * (k * k), (rng.random(k * k) < 0.005).astype(int).tolist()):
+        all_cells = list(similar.cells_of(d1, d2, counts, k, 160, k))
+        for width in (4, 64):
+            assert list(similar.cells_of(d1, d2, counts, k, 160, width)) == all_cells
+        assert all(sum(counts[c] for c in cells) >= min(160, sum(counts)) for cells in all_cells)
+
+
 @pytest.mark.parametrize(
     "text,language,want",
     [
