@@ -3,8 +3,8 @@
 The canonical text is the lower-cased text without anything but letters and digits; for field languages every line is a
 field, and the fields that hold a letter or digit are sorted. The radix key of a row is a kind byte, the first HEAD
 canonical bytes and the SHA-256 of all of them: its order begins with the canonical bytes, it is of bounded length, and
-equal keys mean equal canonical texts. Exact copies are pre-aggregated before the first shuffle, so a group of copies
-that holds a third of all rows is one entry of its bucket with a counter.
+equal keys mean equal canonical texts. Repeated rows are dropped first; then exact copies are counted within each
+partition, so a group of copies that holds a third of all rows is a few entries of its bucket, and the tries sum these.
 
 Defined results: a null text equals no other; texts without letters or digits equal each other; a null language is an
 ordinary language; rows with equal id count once; extra columns are ignored.
@@ -12,7 +12,10 @@ ordinary language; rows with equal id count once; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from corpusloom.session import saved
 FIELD_LANGUAGES = ("yml", "json", "env", "ini")
 #: Canonical bytes in front of the digest; distinct keys a bucket may hold; bytes a level splits by.
 HEAD, BUCKET, STEP = 24, 50_000, 1
+#: Distinct keys a partition counts before it hands them on.
+PARTIAL = 200_000
 #: Rows of one key from which its members are joined by broadcast of the few hot keys instead of by shuffle.
 HOT = 20_000
 
@@ -74,10 +79,34 @@ class Trie:
 
 
 def count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the partial counts of a bucket's keys."""
     trie = Trie()
     for key, n, least in zip(pdf["key"], pdf["n"], pdf["least"]):
         trie.add(bytes(key), int(n), least)
-    return pd.DataFrame([(k, n, least) for k, n, least in trie.terminals() if n > 1], columns=["key", "n", "least"])
+    return pd.DataFrame(list(trie.terminals()), columns=["key", "n", "least"])
+
+
+def partial_counts(rows: DataFrame) -> DataFrame:
+    """key, n, least of the rows (id, key) of every partition; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(found.keys(), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.string())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "least"])
+
+        for batch in batches:
+            for i, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = found.setdefault(key, [0, i])
+                x[0] += 1
+                x[1] = min(x[1], i)
+            if len(found) > PARTIAL:
+                yield flush()
+        yield flush()
+
+    return rows.select("id", "key").mapInArrow(run, "key binary, n long, least string")
 
 
 def radix_buckets(keys: DataFrame, limit: int = BUCKET, step: int = STEP, first: int = 3) -> DataFrame:
@@ -110,11 +139,16 @@ def keyed(chunks: DataFrame) -> DataFrame:
     return chunks.where("text is not null and id is not null").select("id", canonical_key(F.col("text"), F.col("language")).alias("key"))
 
 
+def key_counts(rows: DataFrame) -> DataFrame:
+    """key, n, least of every group of equal rows (id, key), groups of one row included."""
+    # copies meet within their partition first, then their partial counts in the trie of their bucket
+    merged = saved(partial_counts(rows.distinct()), "keys")
+    return radix_buckets(merged).groupBy("bucket").applyInPandas(count_bucket, "key binary, n long, least string")
+
+
 def copy_groups(rows: DataFrame) -> DataFrame:
     """key, n, least of every group of two or more equal rows (id, key)."""
-    # copies meet before the shuffle: partial aggregation by (key, id), then by key
-    merged = saved(rows.distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")), "keys")
-    return radix_buckets(merged).groupBy("bucket").applyInPandas(count_bucket, "key binary, n long, least string")
+    return key_counts(rows).where("n > 1")
 
 
 def copies(chunks: DataFrame) -> DataFrame:
@@ -130,5 +164,4 @@ def copies(chunks: DataFrame) -> DataFrame:
 
 def copy_counts(chunks: DataFrame) -> DataFrame:
     """keep_id and n_copies of every distinct text, unique ones included."""
-    rows = keyed(chunks).distinct().groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    return rows.select(F.col("least").alias("keep_id"), F.col("n").alias("n_copies"))
+    return key_counts(keyed(chunks)).select(F.col("least").alias("keep_id"), F.col("n").alias("n_copies"))

@@ -25,6 +25,14 @@ def test_copies(spark):
     assert canonical.copies(c.limit(0)).count() == 0
 
 
+def test_tries_sum_partial_counts(spark):
+    data = spark.range(0, 900, 1, 6).selectExpr("lpad(cast(id as string), 4, '0') as id", "cast(concat('key', id % 7) as binary) as key")
+    parts = canonical.partial_counts(data)
+    assert parts.count() == 42 and parts.agg(F.sum("n")).first()[0] == 900
+    got = {bytes(r["key"]): (r["n"], r["least"]) for r in canonical.key_counts(data.union(data)).collect()}
+    assert got == {f"key{i}".encode(): (len(range(i, 900, 7)), f"{i:04d}") for i in range(7)}
+
+
 def test_radix_splits_to_the_limit(spark):
     keys = spark.createDataFrame([(bytearray(f"common prefix {i:04d}".encode()),) for i in range(600)], "key binary")
     sizes = [r["count"] for r in canonical.radix_buckets(keys, limit=50).groupBy("bucket").count().collect()]
