@@ -1,11 +1,15 @@
 """Encoding with a public tokenizer (problem 8) by tree concatenation.
 
-Merges of the tokenizer stay within a piece of its pre-tokenizer pattern, so ordinary texts go to the tokenizer whole. A
-piece longer than LONG bytes (a long unbroken string) is split in halves down to leaves; the leaves are encoded in
-parallel threads and neighbours are joined pairwise: a window around each join is encoded afresh and grown until it
-agrees with both sides. Agreement is exact: a token sequence is the encoding of its bytes if and only if every two
-neighbouring tokens encode to themselves; within the left side, the window and the right side that holds already, so the
-two pairs at the window's edges decide.
+A text above LEAF characters is halved at any character down to leaves, which are encoded in parallel threads; neighbours
+are joined pairwise. A window around each join is encoded afresh, pre-tokenizer included, and grows until both sides agree:
+its edges must be borders of pieces whatever surrounds them. That holds between a character that is no white space and
+white space behind it, since no alternative of the pattern runs from the one into the other, none looks behind, and what
+looks ahead sees the same there as at the end of a text. Outside the window the tokens of both sides are those of the whole.
+
+A window may hold a piece longer than LONG bytes (an unbroken string): merges never leave a piece, so it is joined by the
+same tree over its bytes. There agreement is tested token by token: a token sequence is the encoding of its bytes if and
+only if every two neighbouring tokens encode to themselves; within the left side, the window and the right side that holds
+already, so the two pairs at the window's edges decide.
 
 Defined results: null text gives null ids, empty text an empty list; other columns are passed over; repeated rows give
 repeated rows unless the caller drops them.
@@ -14,6 +18,7 @@ repeated rows unless the caller drops them.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -27,8 +32,10 @@ from corpusloom.session import spread
 #: Where the vocabulary files lie; a parameter of every function that reads one.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes above which a piece is encoded by halves, and of a leaf.
-LONG, LEAF = 8192, 2048
+#: Bytes above which one piece is joined by halves of its own, characters of a leaf, of the first window on either side.
+LONG, LEAF, WINDOW = 4096, 2048, 64
+#: Threads that encode the leaves of a text.
+THREADS = 2
 #: Pre-tokenizer pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts a batch handed to the tokenizer holds at most, in characters.
@@ -46,10 +53,24 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        _loaded[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # merges within given bytes are not in the library's public interface
+        if not callable(getattr(getattr(enc, "_core_bpe", None), "encode_single_piece", None)):
+            raise RuntimeError(f"tiktoken {getattr(tiktoken, '__version__', '?')} does not encode single pieces; another version is needed")
+        _loaded[path] = enc
     return _loaded[path]
 
 
+_pools: dict[int, ThreadPoolExecutor] = {}
+
+
+def pool() -> ThreadPoolExecutor:
+    """The threads of this process (a forked worker makes its own)."""
+    if os.getpid() not in _pools:
+        _pools[os.getpid()] = ThreadPoolExecutor(THREADS)
+    return _pools[os.getpid()]
+
+
 def stable(enc, left: int, right: int) -> bool:
     """Whether two neighbouring tokens stay as they are when their bytes are encoded together."""
     return enc._core_bpe.encode_single_piece(enc.decode_bytes([left, right])) == [left, right]
@@ -72,28 +93,24 @@ def encode_piece(enc, data: bytes, leaf: int = LEAF) -> list[int]:
     """Tree concatenation over one piece."""
     if len(data) <= leaf:
         return enc._core_bpe.encode_single_piece(data)
-    leaves = [data[i : i + leaf] for i in range(0, len(data), leaf)]
-    with ThreadPoolExecutor(min(4, os.cpu_count() or 1)) as pool:
-        parts = list(pool.map(enc._core_bpe.encode_single_piece, leaves))
-        while len(parts) > 1:
-            pairs = [(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)]
-            parts = list(pool.map(lambda p: join_encoded(enc, *p), pairs)) + parts[len(parts) - len(parts) % 2 :]
+    parts = list(pool().map(enc._core_bpe.encode_single_piece, [data[i : i + leaf] for i in range(0, len(data), leaf)]))
+    while len(parts) > 1:
+        parts = [join_encoded(enc, *parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0]
 
 
-def has_long_run(text: str) -> bool:
-    """Whether a piece may exceed LONG bytes: a run without white space, or of white space, of LONG / 4 characters."""
-    if len(text) < LONG // 4:
-        return False
-    import re
+_border = re.compile(r"(?<=\S)(?=\s)")
+
 
-    return re.search(r"\S{%d}|\s{%d}" % (LONG // 4, LONG // 4), text) is not None
+def plain(enc, text: str) -> np.ndarray:
+    """The library's encoding of a leaf."""
+    return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
-def encode(enc, text: str) -> np.ndarray:
-    """Token ids of one text."""
-    if not has_long_run(text):
-        return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+def whole(enc, text: str) -> np.ndarray:
+    """Token ids of a window; pieces above LONG bytes by their own tree."""
+    if len(text) <= LONG // 4 or not _long_run.search(text):
+        return plain(enc, text)
     import regex
 
     out: list[int] = []
@@ -103,6 +120,79 @@ def encode(enc, text: str) -> np.ndarray:
     return np.asarray(out, dtype=np.uint32)
 
 
+#: A piece may exceed LONG bytes only where a run without white space, or of white space, has LONG / 4 characters.
+_long_run = re.compile(r"\S{%d}|\s{%d}" % (LONG // 4, LONG // 4))
+
+
+def window_edges(text: str, a: int, mid: int, b: int, window: int = WINDOW) -> tuple[int, int]:
+    """The edges of the window around MID in text[a:b]: the nearest sure borders on both sides, or the ends."""
+    reach, lo, hi = window, a, b
+    while True:  # the left edge
+        found = [m.start() for m in _border.finditer(text, max(a, mid - reach), mid)]
+        found = [i for i in found if a < i < mid and not text[i - 1].isspace() and text[i].isspace()]
+        if found:
+            lo = found[-1]
+            break
+        if mid - reach <= a:
+            break
+        reach *= 2
+    reach = window
+    while True:
+        m = next((m for m in _border.finditer(text, mid, min(b, mid + reach)) if mid < m.start() < b), None)
+        if m:
+            hi = m.start()
+            break
+        if mid + reach >= b:
+            break
+        reach *= 2
+    return lo, hi
+
+
+def tokens_after(enc, ids: np.ndarray, text: str) -> int:
+    """How many tokens at the end of IDS spell TEXT."""
+    left, k = len(text.encode()), 0
+    while left > 0:
+        k += 1
+        left -= len(enc.decode_single_token_bytes(int(ids[len(ids) - k])))
+    if left:
+        raise AssertionError("a window's edge is no border of tokens")
+    return k
+
+
+def tokens_before(enc, ids: np.ndarray, text: str) -> int:
+    """How many tokens at the start of IDS spell TEXT."""
+    left, k = len(text.encode()), 0
+    while left > 0:
+        left -= len(enc.decode_single_token_bytes(int(ids[k])))
+        k += 1
+    if left:
+        raise AssertionError("a window's edge is no border of tokens")
+    return k
+
+
+def join_texts(enc, text: str, left: tuple[int, int, np.ndarray], right: tuple[int, int, np.ndarray]) -> tuple[int, int, np.ndarray]:
+    """Two encoded neighbours (start, end, ids) of TEXT as one."""
+    (a, mid, x), (_, b, y) = left, right
+    lo, hi = window_edges(text, a, mid, b)
+    fresh = whole(enc, text[lo:hi])
+    head = x[: len(x) - tokens_after(enc, x, text[lo:mid])] if lo > a else x[:0]
+    tail = y[tokens_before(enc, y, text[mid:hi]) :] if hi < b else y[:0]
+    return a, b, np.concatenate([head, fresh, tail])
+
+
+def encode(enc, text: str, leaf: int = LEAF) -> np.ndarray:
+    """Token ids of one text by tree concatenation."""
+    if len(text) <= leaf:
+        return plain(enc, text)
+    text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # lone surrogates become one sign, as the library has it
+    count = 1 << (-(-len(text) // leaf) - 1).bit_length()
+    cuts = [len(text) * i // count for i in range(count + 1)]
+    parts = list(pool().map(lambda s: (*s, plain(enc, text[s[0] : s[1]])), zip(cuts, cuts[1:])))
+    while len(parts) > 1:
+        parts = [join_texts(enc, text, parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
+    return parts[0][2]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int = 1, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut where their texts exceed CHARS bytes, so that a worker's memory stays bounded."""
     for batch in batches:

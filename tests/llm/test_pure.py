@@ -28,11 +28,34 @@ def test_tree_concatenation_is_exact(s, leaf):
     assert tokenize.encode_piece(enc(), data, leaf) == enc()._core_bpe.encode_single_piece(data) if data else True
 
 
+LONG_TEXTS = ("a" * 30000, "abc1" * 9000, "中文字" * 9000, "".join(random.Random(1).choice("abcdef") for _ in range(50000)), " " * 20000, "x " * 20000 + "=" * 9000, "\n" * 9000 + "x", "it'll 'r" * 900, "ab\ud800c d" * 900, "")
+
+
 def test_long_strings():
-    rng = random.Random(1)
-    for s in ("a" * 30000, "abc1" * 9000, "中文字" * 9000, "".join(rng.choice("abcdef") for _ in range(50000)), " " * 20000, "x " * 20000 + "=" * 9000, ""):
-        ids = tokenize.encode(enc(), s)
-        assert ids.tolist() == enc().encode_ordinary(s) and enc().decode(ids.tolist()) == s
+    for s in LONG_TEXTS:
+        assert tokenize.encode(enc(), s).tolist() == enc().encode_ordinary(s)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab 'srel\n\t中é1$.\u3000\x85\x1cv", max_size=120), st.integers(1, 9))
+def test_texts_may_be_cut_anywhere(s, leaf):
+    """Cuts within words, contractions, runs of white space and between a base and its mark all join to the library's result."""
+    assert tokenize.encode(enc(), s, leaf).tolist() == enc().encode_ordinary(s)
+
+
+def test_documents_take_the_tree(monkeypatch):
+    """Every document above LEAF characters is joined from its halves, and equals the library's encoding."""
+    import pyarrow.parquet as pq
+
+    texts = [x for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if x and len(x) > tokenize.LEAF]
+    joins = []
+    real = tokenize.join_texts
+    monkeypatch.setattr(tokenize, "join_texts", lambda *a: joins.append(1) or real(*a))
+    for x in texts:
+        before = len(joins)
+        assert tokenize.encode(enc(), x).tolist() == enc().encode_ordinary(x)
+        assert len(joins) - before >= -(-len(x) // tokenize.LEAF) - 1 > 0
+    assert len(texts) > 100
 
 
 @settings(max_examples=80, deadline=None)
