@@ -13,6 +13,8 @@ from corpusloom.functions import text as t
 from corpusloom.functions.chunking import OVERLAP, SIZE, chunk_rows
 from corpusloom.functions.embedding import embedder
 from corpusloom.operators.changes import new_pull_requests, pr_cursor, pr_documents
+from corpusloom.operators.incremental import CHANGE_KEY, commit_positions, oldest_open, pending_records, positioned
+from corpusloom.session import saved
 from corpusloom.store import Store
 
 PIPELINE_VERSION = 5
@@ -45,9 +47,9 @@ def embedded(files: DataFrame, provider: Callable, commits: DataFrame | None = N
 
 
 def full_index(store: Store, files: DataFrame, heads: DataFrame, provider: Callable, commits: DataFrame | None = None) -> None:
-    """Replace the repositories of HEADS (project, repo, content_type, commit_hash); the state follows the data."""
-    store.replace_repos(heads, embedded(files.join(heads.select("project", "repo").distinct(), ["project", "repo"], "left_semi"), provider, commits))
-    store.record_repos(heads)
+    """Replace the repositories of HEADS (project, repo, content_type, commit_hash); data and state count together."""
+    chunks = embedded(files.join(heads.select("project", "repo").distinct(), ["project", "repo"], "left_semi"), provider, commits)
+    store.apply(new=chunks, repos=heads, also={"repo_index_state": store.states_with(heads)})
 
 
 def incremental_index(store: Store, changes: DataFrame, files: DataFrame, heads: DataFrame, provider: Callable, commits: DataFrame | None = None) -> None:
@@ -55,8 +57,53 @@ def incremental_index(store: Store, changes: DataFrame, files: DataFrame, heads:
     holds are chunked again."""
     keys = ["project", "repo", "path"]
     again = files.join(changes.where("status <> 'D'").select(*keys).distinct(), keys, "left_semi")
-    store.replace_paths(changes, embedded(again, provider, commits))
-    store.record_repos(heads)
+    store.apply(new=embedded(again, provider, commits), paths=changes, also={"repo_index_state": store.states_with(heads)})
+
+
+def begin_run(store: Store, run_id: str) -> None:
+    """Record a run as open, before it reads anything."""
+    store.ensure()
+    others = store.read("index_runs").where(F.col("run_id") != run_id)
+    mine = store.spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("outcome"))
+    store.write("index_runs", others.unionByName(mine))
+
+
+def end_run(store: Store, run_id: str, outcome: str) -> DataFrame:
+    """The table of runs once this one has ended."""
+    mine = F.col("run_id") == run_id
+    return store.read("index_runs").withColumn("finished_at", F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))).withColumn("outcome", F.when(mine, outcome).otherwise(F.col("outcome")))
+
+
+def run_changes(store: Store, run_id: str, changes: DataFrame, log: DataFrame, files: DataFrame, provider: Callable) -> int:
+    """One run over the change feed (change_id, project, repo, commit_hash, status, path, received_at): how many changes it
+    processed.
+
+    It rereads what was received since the oldest run open at the last success began and leaves out what the ledger holds.
+    Chunks, ledger, states and the run's outcome count from one commit on: a run that dies before leaves nothing, one that
+    is started again after it finds nothing to do. A run that died stays open, so later ones reread from its start;
+    a new start under its run_id or `abandon_run` ends that.
+    """
+    begin_run(store, run_id)
+    low = oldest_open(store.read("index_runs").where(F.col("run_id") != run_id))
+    positions = commit_positions(log)
+    todo = saved(pending_records(positioned(changes, positions), store.read("processed"), CHANGE_KEY, "commit_seq", "received_at", low), "todo")
+    count = todo.count()
+    keys = ["project", "repo", "path"]
+    touched = todo.where("path is not null").select(*keys).distinct()
+    # the file as it is now decides, not the status of a change that may be late
+    chunks = embedded(files.join(touched, keys, "left_semi"), provider)
+    last = todo.groupBy("project", "repo").agg(F.max(F.struct("commit_seq", "commit_hash"))["commit_hash"].alias("commit_hash"), F.max("commit_seq").alias("seq"))
+    # a late change does not set a repository's state back
+    at = store.read("repo_index_state").join(positions.withColumnRenamed("commit", "commit_hash"), ["project", "repo", "commit_hash"]).select("project", "repo", F.col("commit_seq").alias("was"))
+    heads = last.join(at, ["project", "repo"], "left").where("was is null or seq > was").select("project", "repo", "commit_hash")
+    ledger = todo.select(*CHANGE_KEY, "commit_seq", "received_at", F.lit(run_id).alias("run_id"))
+    store.apply(new=chunks, paths=touched, also={"repo_index_state": store.states_with(heads), "index_runs": end_run(store, run_id, "succeeded")}, ledger=(run_id, ledger) if count else None)
+    return count
+
+
+def abandon_run(store: Store, run_id: str) -> None:
+    """Close a run that died."""
+    store.write("index_runs", end_run(store, run_id, "failed"))
 
 
 def index_repos(store: Store, plan: DataFrame, changes: DataFrame, files: DataFrame, provider: Callable, commits: DataFrame | None = None, model: str = "hash-96", content_type: str = "code") -> None:
@@ -85,4 +132,4 @@ def index_pull_requests(store: Store, prs: DataFrame, provider: Callable) -> Non
 def removed_repos(store: Store, configured: DataFrame) -> None:
     """Drop chunks of repositories that are no longer configured (project, name)."""
     keys = configured.select("project", F.col("name").alias("repo")).distinct()
-    store.write("chunks", store.read("chunks").join(keys, ["project", "repo"], "left_semi"))
+    store.apply(repos=store.read("chunks").select("project", "repo", "content_type").distinct().join(keys, ["project", "repo"], "left_anti"))

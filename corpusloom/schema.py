@@ -14,6 +14,9 @@ CHUNKS = T.StructType(
 )
 STATE = T.StructType([T.StructField(n, _s) for n in ("project", "repo", "commit_hash", "indexed_at")])
 PR_STATE = T.StructType([T.StructField("project", _s), T.StructField("repo", _s), T.StructField("last_pr_id", _l), T.StructField("indexed_at", _s)])
+RUNS = T.StructType([T.StructField("run_id", _s), T.StructField("started_at", T.TimestampType()), T.StructField("finished_at", T.TimestampType()), T.StructField("outcome", _s)])
+#: The ledger: a processed change (its key), its version and the run that processed it.
+PROCESSED = T.StructType([T.StructField(n, _s) for n in ("project", "repo", "commit_hash", "status", "path")] + [T.StructField("commit_seq", _l), T.StructField("received_at", T.TimestampType()), T.StructField("run_id", _s)])
 PULL_REQUEST = T.StructType([T.StructField("pr_id", _l), T.StructField("title", _s), T.StructField("description", _s), T.StructField("created_date", _s), T.StructField("work_item_ids", T.ArrayType(_i))])
 
 #: Columns of a search hit; the vector is never returned.

@@ -37,7 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the cluster names it.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made and set.
+    Only on one machine a temporary folder is made and set where that setting is absent; executors of a cluster would each
+    write to their own, so there its absence is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)

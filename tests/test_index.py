@@ -1,15 +1,17 @@
 import subprocess
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import schema
 from corpusloom.api import Api, Tools
 from corpusloom.functions.embedding import hash_provider
 from corpusloom.operators.changes import index_plan
 from corpusloom.plans import indexing, queries
 from corpusloom.sources import config, files, git
 from corpusloom.sources import pull_requests as pr
-from corpusloom.store import IndexNotReady, Store
+from corpusloom.store import ConcurrentChange, IndexNotReady, Store
 from corpusloom.streaming import pull_request_stream
 
 PRS = [{"pullRequestId": i, "title": f"t{i}", "creationDate": "d"} for i in range(205, 0, -1)]
@@ -111,11 +113,97 @@ def test_index_run(repo, tmp_path, spark):
     assert api.search("alpha2").first()["path"] == "a.py" and api.definitions("beta").count() == 1
     assert api.file("p", "r", "a.py").first()["text"].startswith("def alpha2") and api.repositories().count() == 2 and api.duplicates().count() == 0
     assert Tools(store, hash_provider).find_definition("alpha2").count() == 1
-    store.delete(F.col("path") == "a.py")
+    store.apply(paths=spark.createDataFrame([("p", "r", "a.py")], "project string, repo string, path string"))
+    assert {r["path"] for r in store.read("chunks", ["code"]).collect()} == {"d.py"}
     indexing.removed_repos(store, spark.createDataFrame([("p", "other", None)], config.REPO_SCHEMA))
     assert store.read("chunks").count() == 0
-    store._write_text("current.json", "{broken")
-    assert store.state() == {}
+
+
+def chunk(spark, *rows):
+    cols = ["id", "project", "repo", "path", "language", "content_type", "text"]
+    df = spark.createDataFrame([(*r, "py", "code", "x = 1") for r in rows], ", ".join(f"{c} string" for c in cols))
+    for f in schema.CHUNKS:
+        if f.name not in cols:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return df
+
+
+def test_store_is_atomic(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.ensure()
+    store.upsert(chunk(spark, *[(f"i{k}", "p", "r", f"f{k}.py") for k in range(40)]))
+    before = store.state()
+    # one file: only its partition is written
+    store.replace_paths(spark.createDataFrame([("p", "r", "f1.py")], "project string, repo string, path string"), chunk(spark, ("new", "p", "r", "f1.py")))
+    now = store.state()
+    assert sum(v != before["tables"]["chunks"].get(k) for k, v in now["tables"]["chunks"].items()) == 1
+    assert {r["id"] for r in store.read("chunks").collect()} == {f"i{k}" for k in range(40) if k != 1} | {"new"}
+    # death between the data and the manifest, and half a manifest
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_put", lambda *a: (_ for _ in ()).throw(OSError("dies here")))
+        with pytest.raises(OSError):
+            store.upsert(chunk(spark, ("lost", "p", "r", "f2.py")))
+    assert store.state() == now and store.read("chunks").count() == 40
+    assert store._put(store._numbers()[-1] + 1, "{broken") and store.state() == now
+    store.upsert(chunk(spark, ("kept", "p", "r", "f2.py")))
+    assert store.read("chunks").count() == 41
+    # two writers: other partitions go together, the same one does not
+    base = store.state()
+    other, same = next(k for k in base["tables"]["chunks"]), "code-0-0x"
+    store.commit(base, {"chunks": {same: "v1"}})
+    store.commit(base, {"pr_state": {"all": "v2"}})
+    assert store.state()["tables"]["chunks"][same] == "v1"
+    store.commit(store.state(), {"chunks": {same: None, other: "v3"}})
+    with pytest.raises(ConcurrentChange):
+        store.commit(base, {"chunks": {other: "v4"}})
+
+
+def test_dimension_is_checked_on_writing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.ensure()
+    vec = lambda n: F.array(*[F.lit(1.0).cast("float")] * n)
+    store.upsert(chunk(spark, ("a", "p", "r", "a.py")).withColumn("embedding", vec(3)))
+    with pytest.raises(ValueError):
+        store.upsert(chunk(spark, ("b", "p", "r", "b.py")).withColumn("embedding", vec(4)))
+    assert store.read("chunks").count() == 1
+
+
+def test_killed_runs_skip_and_repeat_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    log = spark.createDataFrame([("p", "r", k, f"c{k}") for k in range(1, 9)], "project string, repo string, commit_seq bigint, commit_hash string")
+    t = lambda h: datetime(2024 if h < 4 else 2100, 1, 1, h)  # noqa: E731  # before and after the runs
+    feed = lambda *rows: spark.createDataFrame([(i, "p", "r", c, "M", path, at) for i, c, path, at in rows], "change_id bigint, project string, repo string, commit_hash string, status string, path string, received_at timestamp")
+    text = lambda *paths: spark.createDataFrame([("p", "r", x, "py", "code", 9, f"def {x[0]}():\n    return 1\n") for x in paths], "project string, repo string, path string, language string, content_type string, file_size_bytes bigint, text string")
+    first = [(1, "c1", "a.py", t(1)), (2, "c3", "b.py", t(2)), (3, "C3", "b.py", t(3))]
+
+    def dying():
+        raise RuntimeError("provider is down")
+
+    with pytest.raises(Exception, match="down"):
+        indexing.run_changes(store, "one", feed(*first), log, text("a.py", "b.py"), dying)
+    assert store.read("chunks").count() == 0 and store.read("processed").count() == 0
+    with monkeypatch.context() as m:  # dies after its data is written, before the commit
+        real = Store._put
+        m.setattr(Store, "_put", lambda self, n, text: real(self, n, text) if '"processed": {}' in text else (_ for _ in ()).throw(OSError("dies here")))
+        with pytest.raises(OSError):
+            indexing.run_changes(store, "two", feed(*first), log, text("a.py", "b.py"), hash_provider)
+    assert store.read("chunks").count() == 0 and store.read("processed").count() == 0
+    assert indexing.run_changes(store, "three", feed(*first), log, text("a.py", "b.py"), hash_provider) == 2
+    assert indexing.run_changes(store, "four", feed(*first), log, text("a.py", "b.py"), hash_provider) == 0
+    # a late change below the state, delivered twice, and a new one
+    late = [*first, (4, "c2", "c.py", t(5)), (5, "c2", "c.py", t(6)), (6, "c5", "a.py", t(5))]
+    assert store.read("repo_index_state").first()["commit_hash"] == "c3"
+    assert indexing.run_changes(store, "five", feed(*late[:4]), log, text("a.py", "b.py", "c.py"), hash_provider) == 1
+    assert store.read("repo_index_state").first()["commit_hash"] == "c3"
+    for run in ("one", "two"):
+        indexing.abandon_run(store, run)
+    assert indexing.run_changes(store, "six", feed(*late), log, text("a.py", "b.py", "c.py"), hash_provider) == 1
+    assert store.read("repo_index_state").first()["commit_hash"] == "c5"
+    pairs = [(r["commit_hash"], r["path"]) for r in store.read("processed").collect()]
+    assert sorted(pairs) == [("c1", "a.py"), ("c2", "c.py"), ("c3", "b.py"), ("c5", "a.py")] and store.read("chunks").count() == 3
+    monkeypatch.setattr(Store, "LEDGER_PARTS", 2)
+    assert indexing.run_changes(store, "seven", feed(*late, (7, "c7", "b.py", t(8))), log, text("a.py", "b.py"), hash_provider) == 1
+    assert store.read("processed").count() == 5 and len(store.state()["tables"]["processed"]) == 1
 
 
 def test_stream(spark, tmp_path):
