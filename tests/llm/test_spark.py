@@ -1,5 +1,6 @@
 """Operators on small tables with nulls, repeated rows, clashing columns, ties and empty tables."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -26,17 +27,23 @@ def test_copies(spark):
 
 
 def test_tries_sum_partial_counts(spark):
-    data = spark.range(0, 900, 1, 6).selectExpr("lpad(cast(id as string), 4, '0') as id", "cast(concat('key', id % 7) as binary) as key")
+    data = spark.range(0, 900, 1, 6).selectExpr("lpad(cast(id as string), 4, '0') as id", "cast(concat('key', id % 7) as binary) as canon")
     parts = canonical.partial_counts(data)
     assert parts.count() == 42 and parts.agg(F.sum("n")).first()[0] == 900
-    got = {bytes(r["key"]): (r["n"], r["least"]) for r in canonical.key_counts(data.union(data)).collect()}
-    assert got == {f"key{i}".encode(): (len(range(i, 900, 7)), f"{i:04d}") for i in range(7)}
+    want = {hashlib.sha256(f"key{i}".encode()).digest(): (len(range(i, 900, 7)), f"{i:04d}") for i in range(7)}
+    # also where every bucket is too large, so that single keys are salted
+    for limits in ({}, {"limit": 3}, {"limit": 1, "first": 1}):
+        assert {bytes(r["key"]): (r["n"], r["least"]) for r in canonical.key_counts(data.union(data), **limits).collect()} == want
 
 
 def test_radix_splits_to_the_limit(spark):
-    keys = spark.createDataFrame([(bytearray(f"common prefix {i:04d}".encode()),) for i in range(600)], "key binary")
-    sizes = [r["count"] for r in canonical.radix_buckets(keys, limit=50).groupBy("bucket").count().collect()]
-    assert sum(sizes) == 600 and max(sizes) <= 50
+    """Keys that agree in their first hundreds of bytes are split by bytes behind these; the limit is the same at any size."""
+    for front in (14, 700):
+        texts = [("c" * front + f"{i:04d}" + "z" * (i % 5)).encode() for i in range(600)] + [b"", b"c", b"d"]
+        keys = spark.createDataFrame([(bytearray(x), 1, "i") for x in texts], "canon binary, n long, least string")
+        for limits in ({"limit": 50}, {"limit": 1000, "limit_bytes": 20_000}):
+            got = canonical.radix_buckets(keys, **limits).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.length("canon")).alias("b")).collect()
+            assert sum(r["n"] for r in got) == 603 and max(r["n"] for r in got) <= limits["limit"] and max(r["b"] for r in got) <= limits.get("limit_bytes", 1 << 30)
 
 
 def test_near_duplicates(spark):
