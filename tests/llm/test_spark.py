@@ -73,6 +73,16 @@ def test_large_groups_are_split(spark, monkeypatch):
     assert neardup.near_duplicate_rows(c, 3, 7).count() == 66
 
 
+def test_near_duplicates_beyond_the_sketch(spark, monkeypatch):
+    """Exact counts instead of the sketch, no filter, and deeper summing trees give the same pairs."""
+    c = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").where("text is not null").withColumn("canon", canonical.canonical_key(F.col("text"), F.col("language")))
+    pairs = lambda **o: {tuple(sorted(r)) for r in neardup.similar_classes(c.repartition(7), 3, 7, **o)[1].collect()}
+    want = pairs()
+    assert want and pairs(sketch_bits=1, filter_bits=1) == want
+    monkeypatch.setattr(neardup, "FAN_IN", 2)
+    assert pairs(sketch_bits=12, filter_bits=13) == want
+
+
 def test_similar(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(12, 96))
