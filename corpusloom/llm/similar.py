@@ -1,11 +1,14 @@
 """Most similar vectors for every vector (problem 1) by an inverted multi-index.
 
 Both halves of the unit vectors are quantised separately with K centroids each, fitted by k-means on a sample of at most
-SAMPLE vectors; every vector is indexed under its pair of centroids. A query walks the centroid pairs in order of the
-summed distance with a heap (multi-sequence traversal) until the pairs' lists hold CANDIDATES vectors, and reranks these
-by cosine. K grows with the root of the collection, so a list keeps its length and the work grows in proportion. Lists
-live in blocks of neighbouring first-half centroids; a query travels once to each block it touches (two or three), as 16
-bit integers. Blocks above BLOCK_ROWS vectors or BLOCK_QUERIES queries are split over salts.
+SAMPLE vectors a centroid; every vector is indexed under its pair of centroids. A query walks the centroid pairs in order of
+the summed distance with a heap (multi-sequence traversal) until the pairs' lists hold enough vectors, and reranks these by
+cosine. K grows with the root of the collection up to LARGEST_K, so lists keep their length and the work grows in
+proportion; beyond, at 50 million vectors, lists grow and a query takes the more of them: CANDIDATES, or LISTS lists' worth
+where that is more. Lists live in blocks of neighbouring centroids, of the first half and, where a centroid of it has
+more than a block, of both; the number of blocks grows with the collection. A query travels once to each block it touches
+(two or three), as 16 bit integers. A block above BLOCK_ROWS vectors or BLOCK_QUERIES queries (one dense list) is split over
+salts.
 
 Equal vectors are one entry of the index with their six smallest ids: however many copies a vector has, each copy's
 neighbours among them are those, so no group of copies is ever paired with itself.
@@ -25,13 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.sums import SLICED, SLICES, by_slice, tree_sum
 from corpusloom.session import saved
 
-DIM, SAMPLE, CANDIDATES = 96, 24_000, 160
-ROWS_A_CELL, LARGEST_K = 3, 1024
+DIM = 96
+#: Vectors a walk collects at least, and in lists of average length.
+CANDIDATES, LISTS = 400, 24
+#: Vectors of the fitting sample by centroid and at least; with LARGEST_K at most about 160,000 come to the driver (64 MB).
+SAMPLE, LEAST_SAMPLE = 40, 24_000
+#: The lists' counts, LARGEST_K squared numbers of 4 bytes, are broadcast.
+ROWS_A_CELL, LARGEST_K = 3, 4096
 #: Nearest centroids of each half that are sorted at first.
 WIDTH = 64
-BLOCK_ROWS, BLOCK_QUERIES, ROWS_A_BLOCK = 16_384, 65_536, 8192
+BLOCK_ROWS, BLOCK_QUERIES, ROWS_A_BLOCK = 16_384, 131_072, 8192
+#: Partitions the blocks are spread over at most; beyond, a task holds several blocks one after the other.
+PARTITIONS = 20_000
 
 
 def usable(rows: DataFrame, dim: int = DIM) -> DataFrame:
@@ -51,7 +62,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * (x @ c.T), axis=1)
+        near = np.concatenate([np.argmin(distances(x[i : i + 8192], c), axis=1) for i in range(0, len(x), 8192)])
         order = np.argsort(near, kind="stable")
         n = np.bincount(near, minlength=k)
         full = np.flatnonzero(n)
@@ -85,7 +96,7 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(1) - 2 * (x @ c.T)
 
 
-def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts: list[int], k: int, want: int, whole: bool = True) -> list[int] | None:
+def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts, k: int, want: int, whole: bool = True) -> list[int] | None:
     """Cells by rising summed distance until they hold WANT vectors: the multi-sequence traversal. Lists that are not WHOLE
     give None if their end is reached before."""
     heap = [(d1[0] + d2[0], 0, 0)]
@@ -106,7 +117,7 @@ def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts:
     return cells
 
 
-def cells_of(d1: np.ndarray, d2: np.ndarray, counts: list[int], k: int, want: int, width: int = WIDTH) -> Iterator[list[int]]:
+def cells_of(d1: np.ndarray, d2: np.ndarray, counts, k: int, want: int, width: int = WIDTH) -> Iterator[list[int]]:
     """The cells of every row of distances to the centroids of both halves: first from the WIDTH nearest centroids of each
     half, and from all of them where those do not suffice."""
     width = min(k, width)
@@ -140,7 +151,17 @@ def unpacked(column, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, dim: int) -> pd.DataFrame:
+def opened(cells: bytes, k: int) -> Iterator[int]:
+    """The lists that a query names within a block."""
+    a, i = np.frombuffer(cells, np.uint16).tolist(), 0
+    while i < len(a):
+        first, n = a[i] * k, a[i + 1]
+        for two in a[i + 2 : i + 2 + n]:
+            yield first + two
+        i += 2 + n
+
+
+def nearest(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, dim: int, k: int) -> pd.DataFrame:
     """Rerank within a block: TOP most similar of each query's cells."""
     if vectors.empty or queries.empty:
         return pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})
@@ -152,11 +173,10 @@ def nearest(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, dim: int) ->
     at = {c: (s, e) for c, s, e in zip(names.tolist(), starts.tolist(), ends)}
     q = unpacked(queries["vec"], dim)
     qs, vs, sims = [], [], []
-    for k, (me, cells) in enumerate(zip(queries["vid"].tolist(), queries["cells"])):
-        spans = [at[c] for c in np.frombuffer(cells, np.int32).tolist() if c in at]
+    for y, me, cells in zip(q, queries["vid"].tolist(), queries["cells"]):
+        spans = [at[c] for c in opened(cells, k) if c in at]
         if not spans:
             continue
-        y = q[k]
         sim = np.concatenate([x[s:e] @ y for s, e in spans])
         ids = np.concatenate([vid[s:e] for s, e in spans])
         if len(sim) > top + 1:
@@ -166,18 +186,35 @@ def nearest(vectors: pd.DataFrame, queries: pd.DataFrame, top: int, dim: int) ->
         qs.append(np.full(int(other.sum()), me))
         vs.append(ids[other])
         sims.append(sim[other])
-    return pd.DataFrame({"q": np.concatenate(qs), "v": np.concatenate(vs), "sim": np.concatenate(sims)}) if qs else nearest(vectors.iloc[:0], queries, top, dim)
+    return pd.DataFrame({"q": np.concatenate(qs), "v": np.concatenate(vs), "sim": np.concatenate(sims)}) if qs else nearest(vectors.iloc[:0], queries, top, dim, k)
 
 
 def fit(rows: DataFrame, n: int, dim: int) -> dict:
-    """Centroids of both halves and the blocks, from a sample of at most about SAMPLE vectors."""
+    """Centroids of both halves and their blocks, from a sample of bounded size."""
     k = int(min(LARGEST_K, max(2, 2 ** round(np.log2(max(1, n / ROWS_A_CELL) ** 0.5)))))
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("embedding").limit(2 * SAMPLE)
+    most = max(LEAST_SAMPLE, SAMPLE * k)
+    share = min(1.0, most / max(n, 1))
+    sample = rows.where(F.pmod(F.xxhash64("vid"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("embedding").limit(2 * most)
     x = unit(as_matrix(sample.toArrow()["embedding"].combine_chunks(), dim))
     half = dim // 2
     c1, c2 = kmeans(x[:, :half], k), kmeans(x[:, half:], k)
-    return {"k": k, "c1": c1, "c2": c2, "block": blocks_of(c1, min(k, -(-n // ROWS_A_BLOCK)))}
+    blocks = -(-n // ROWS_A_BLOCK)
+    b1, b2 = blocks_of(c1, min(k, blocks)), blocks_of(c2, min(k, -(-blocks // k)))
+    return {"k": k, "c1": c1, "c2": c2, "b1": b1, "b2": b2, "wide": int(b2.max()) + 1}
+
+
+def list_sizes(index: DataFrame, k: int) -> np.ndarray:
+    """Vectors in every list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(max(k * k, SLICES), np.int32)
+        for batch in batches:
+            at, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
+            cells[at] += n.astype(np.int32)
+        yield by_slice(cells)
+
+    cells = index.select("cell")
+    return tree_sum(cells.mapInArrow(count, SLICED), cells.rdd.getNumPartitions(), max(k * k, SLICES), np.int32, np.add)[: k * k]
 
 
 def indexed(rows: DataFrame, model, dim: int) -> DataFrame:
@@ -189,7 +226,9 @@ def indexed(rows: DataFrame, model, dim: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = unit(as_matrix(batch.column(1), dim))
-            cell = np.argmin(distances(x[:, :half], m["c1"]), 1) * m["k"] + np.argmin(distances(x[:, half:], m["c2"]), 1)
+            step = max(64, (1 << 22) // m["k"])
+            near = [np.concatenate([np.argmin(distances(h[i : i + step], c), 1) for i in range(0, len(h), step)]) for h, c in ((x[:, :half], m["c1"]), (x[:, half:], m["c2"]))]
+            cell = near[0] * m["k"] + near[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(packed(x), pa.binary())], names=["vid", "cell", "vec"])
 
     return rows.select("vid", "embedding").mapInArrow(run, "vid long, cell int, vec binary")
@@ -200,20 +239,24 @@ def probes(index: DataFrame, model, counts, dim: int, want: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, half = model.value, dim // 2
-        k, n, block = m["k"], counts.value.tolist(), m["block"].tolist()
+        k, wide, n = m["k"], m["wide"], memoryview(counts.value)
+        b1, b2 = (m["b1"] * wide).tolist(), m["b2"].tolist()
+        step = max(64, min(4096, (1 << 22) // k))
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = unpacked(batch.column(1).to_pylist(), dim)
                 rows, blocks, cells = [], [], []
                 for i, mine in enumerate(cells_of(distances(x[:, :half], m["c1"]), distances(x[:, half:], m["c2"]), n, k, want)):
-                    by: dict[int, list[int]] = {}
+                    by: dict[int, dict[int, list[int]]] = {}
                     for c in mine:
-                        by.setdefault(block[c // k], []).append(c)
-                    for b, cs in by.items():
+                        one, two = divmod(c, k)
+                        by.setdefault(b1[one] + b2[two], {}).setdefault(one, []).append(two)
+                    for b, lists in by.items():
                         rows.append(i)
                         blocks.append(b)
-                        cells.append(np.array(cs, np.int32).tobytes())
+                        # first centroid, number of second centroids, second centroids
+                        cells.append(np.array([x for one, twos in lists.items() for x in (one, len(twos), *twos)], np.uint16).tobytes())
                 pick = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array(blocks, pa.int32()), pa.array(cells, pa.binary()), batch.column(1).take(pick)], names=["vid", "block", "cells", "vec"])
 
@@ -230,26 +273,29 @@ def similar_pairs(rows: DataFrame, top: int = 5, want: int = CANDIDATES, dim: in
     if n < 2:
         return empty
     model = fit(good, n, dim)
-    k, block = model["k"], model["block"]
+    k, wide = model["k"], model["wide"]
     sent = spark.sparkContext.broadcast(model)
     index = saved(indexed(good, sent, dim).dropDuplicates(["vid"]), "index")
-    sizes = np.zeros(k * k, np.int64)  # at most LARGEST_K squared entries
-    for r in index.groupBy("cell").count().toLocalIterator():
-        sizes[r[0]] = r[1]
-    per_block = np.bincount(block, weights=sizes.reshape(k, k).sum(1), minlength=block.max() + 1)
-    vs = np.maximum(1, -(-per_block // BLOCK_ROWS)).astype(int).tolist()
-    qs = np.maximum(1, -(-4 * per_block // BLOCK_QUERIES)).astype(int).tolist()
+    sizes = list_sizes(index, k)
+    want = max(want, -(-LISTS * n // (k * k)))
+    per_block = np.zeros((int(model["b1"].max()) + 1, wide), np.int64)
+    for i in range(k):
+        per_block[model["b1"][i]] += np.bincount(model["b2"], weights=sizes[i * k : (i + 1) * k], minlength=wide).astype(np.int64)
+    per_block = per_block.ravel()
     asked = probes(index, sent, spark.sparkContext.broadcast(sizes), dim, want)
-    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("block") + 1)
-    first = F.array(*[F.lit(int(b)) for b in block])
-    held = index.withColumn("block", F.element_at(first, F.floor(F.col("cell") / k).cast("int") + 1))
-    if max(vs) > 1 or max(qs) > 1:
-        held = held.withColumn("vsalt", F.pmod(F.xxhash64("vid"), of(vs)).cast("int")).withColumn("qsalt", F.explode(F.sequence(F.lit(0), of(qs) - 1)))
-        asked = asked.withColumn("qsalt", F.pmod(F.hash("vid"), of(qs)).cast("int")).withColumn("vsalt", F.explode(F.sequence(F.lit(0), of(vs) - 1)))
+    at = lambda of, c: F.element_at(F.lit([int(b) for b in of]), c.cast("int") + 1)
+    held = index.withColumn("block", at(model["b1"] * wide, F.floor(F.col("cell") / k)) + at(model["b2"], F.col("cell") % k))
+    key = ["block"]
+    # blocks of one dense list: few, since all blocks together hold every vector once
+    dense = [(int(b), int(-(-per_block[b] // BLOCK_ROWS)), int(max(1, -(-4 * per_block[b] // BLOCK_QUERIES)))) for b in np.flatnonzero(per_block > BLOCK_ROWS)]
+    if dense:
+        splits = F.broadcast(spark.createDataFrame(dense, "block int, vs int, qs int")) if len(dense) <= 100_000 else spark.createDataFrame(dense, "block int, vs int, qs int")
+        one = F.lit(1)
+        held = held.join(splits, "block", "left").withColumn("vsalt", F.pmod(F.xxhash64("vid"), F.coalesce("vs", one)).cast("int")).withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.coalesce("qs", one) - 1))).drop("vs", "qs")
+        asked = asked.join(splits, "block", "left").withColumn("qsalt", F.pmod(F.hash("vid"), F.coalesce("qs", one)).cast("int")).withColumn("vsalt", F.explode(F.sequence(F.lit(0), F.coalesce("vs", one) - 1))).drop("vs", "qs")
         key = ["block", "vsalt", "qsalt"]
-    else:
-        key = ["block"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(lambda a, b: nearest(a, b, top, dim), "q long, v long, sim float")
+    parts = min(PARTITIONS, max(2 * len(per_block), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = held.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(lambda a, b: nearest(a, b, top, dim, k), "q long, v long, sim float")
     # the few best classes of each class; six ids a class suffice
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "v"))), 1, top).alias("near"))
     best = saved(best.select("q", F.explode("near").alias("e")).select("q", "e.d", "e.v"), "near")

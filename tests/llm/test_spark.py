@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, markup, neardup, notwritten, packing, queries, secrets, sentences, similar, tokenize
+from corpusloom.llm import canonical, markup, neardup, notwritten, packing, queries, secrets, sentences, similar, sums, tokenize
 
 CH = "id string, project string, repo string, path string, language string, content_type string, text string, embedding array<float>, count int, key string, n int, sig string"
 
@@ -79,7 +79,7 @@ def test_near_duplicates_beyond_the_sketch(spark, monkeypatch):
     pairs = lambda **o: {tuple(sorted(r)) for r in neardup.similar_classes(c.repartition(7), 3, 7, **o)[1].collect()}
     want = pairs()
     assert want and pairs(sketch_bits=1, filter_bits=1) == want
-    monkeypatch.setattr(neardup, "FAN_IN", 2)
+    monkeypatch.setattr(sums, "FAN_IN", 2)
     assert pairs(sketch_bits=12, filter_bits=13) == want
 
 
@@ -99,6 +99,24 @@ def test_similar(spark):
     assert similar.similar_pairs(rows(spark, bad[:4])).count() == 0
 
 
+def test_similar_beyond_the_largest_k(spark, monkeypatch):
+    """With long lists, blocks of both halves and dense blocks split over salts, recall stays."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 96)).astype(np.float32)
+    data = rows(spark, [dict(id=f"{i:03d}", embedding=[float(v) for v in x[i]]) for i in range(900)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {tuple(sorted((f"{i:03d}", f"{j:03d}"))) for i in range(900) for j in np.argsort(-s[i])[:5]}
+    monkeypatch.setattr(similar, "ROWS_A_BLOCK", 100)
+    monkeypatch.setattr(similar, "LARGEST_K", 4)  # 56 vectors a list, 9 blocks on 4 x 3 groups of centroids
+    for block_rows in (16_384, 20):
+        monkeypatch.setattr(similar, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(similar, "BLOCK_QUERIES", 16 * block_rows)
+        got = set(map(tuple, similar.similar_pairs(data).collect()))
+        assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 def test_equal_vectors_take_the_smallest_ids(spark):
     one = [1.0] * 96
     data = [dict(id=f"{i:02d}", embedding=one) for i in range(30)] + [dict(id="zz", embedding=[1.0] * 95 + [2.0])]
