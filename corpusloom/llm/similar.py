@@ -6,9 +6,9 @@ the summed distance with a heap (multi-sequence traversal) until the pairs' list
 cosine. K grows with the root of the collection up to LARGEST_K, so lists keep their length and the work grows in
 proportion; beyond, at 50 million vectors, lists grow and a query takes the more of them: CANDIDATES, or LISTS lists' worth
 where that is more. Lists live in blocks of neighbouring centroids, of the first half and, where a centroid of it has
-more than a block, of both; the number of blocks grows with the collection. A query travels once to each block it touches
-(two or three), as 16 bit integers. A block above BLOCK_ROWS vectors or BLOCK_QUERIES queries (one dense list) is split over
-salts.
+more than a block, of both; the number of blocks grows with the collection. A query travels once to each block it touches, as
+16 bit integers; the queries of a block are spread over tasks of about BLOCK_QUERIES, its vectors (one dense list) over
+tasks of BLOCK_ROWS.
 
 Equal vectors are one entry of the index with their six smallest ids: however many copies a vector has, each copy's
 neighbours among them are those, so no group of copies is ever paired with itself.
@@ -33,14 +33,14 @@ from corpusloom.session import saved
 
 DIM = 96
 #: Vectors a walk collects at least, and in lists of average length.
-CANDIDATES, LISTS = 400, 24
+CANDIDATES, LISTS = 200, 24
 #: Vectors of the fitting sample by centroid and at least; with LARGEST_K at most about 160,000 come to the driver (64 MB).
 SAMPLE, LEAST_SAMPLE = 40, 24_000
 #: The lists' counts, LARGEST_K squared numbers of 4 bytes, are broadcast.
 ROWS_A_CELL, LARGEST_K = 3, 4096
 #: Nearest centroids of each half that are sorted at first.
 WIDTH = 64
-BLOCK_ROWS, BLOCK_QUERIES, ROWS_A_BLOCK = 16_384, 131_072, 8192
+BLOCK_ROWS, BLOCK_QUERIES, ROWS_A_BLOCK = 65_536, 65_536, 32_768
 #: Partitions the blocks are spread over at most; beyond, a task holds several blocks one after the other.
 PARTITIONS = 20_000
 
@@ -58,11 +58,21 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances but for what is equal in a row."""
+    return (c * c).sum(1) - 2 * (x @ c.T)
+
+
+def nearest_centroids(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(64, (1 << 22) // len(c))
+    return np.concatenate([np.argmin(distances(x[i : i + step], c), axis=1) for i in range(0, len(x), step)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.concatenate([np.argmin(distances(x[i : i + 8192], c), axis=1) for i in range(0, len(x), 8192)])
+        near = nearest_centroids(x, c)
         order = np.argsort(near, kind="stable")
         n = np.bincount(near, minlength=k)
         full = np.flatnonzero(n)
@@ -73,12 +83,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return c
 
 
-def blocks_of(c: np.ndarray, blocks: int) -> np.ndarray:
-    """Block of each centroid: halving along the widest direction, so that neighbours share a block."""
+def blocks_of(c: np.ndarray, blocks: int, weight: np.ndarray) -> np.ndarray:
+    """Block of each centroid: halving by weight (vectors a centroid has) along the widest direction, so that neighbours
+    share a block and blocks are of like size."""
     out = np.zeros(len(c), np.int32)
     parts = [np.arange(len(c))]
     while len(parts) < blocks:
-        parts.sort(key=len)
+        parts.sort(key=lambda p: (len(p) > 1, weight[p].sum()))
         p = parts.pop()
         if len(p) < 2:
             parts.append(p)
@@ -86,16 +97,14 @@ def blocks_of(c: np.ndarray, blocks: int) -> np.ndarray:
         x = c[p] - c[p].mean(0)
         direction = np.linalg.svd(x, full_matrices=False)[2][0]
         p = p[np.argsort(x @ direction, kind="stable")]
-        parts += [p[: len(p) // 2], p[len(p) // 2 :]]
+        half = np.cumsum(weight[p])
+        cut = min(max(1, int(np.searchsorted(half, half[-1] / 2)) + 1), len(p) - 1)
+        parts += [p[:cut], p[cut:]]
     for b, p in enumerate(parts):
         out[p] = b
     return out
 
 
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (c * c).sum(1) - 2 * (x @ c.T)
-
-
 def walk(l1: list[int], d1: list[float], l2: list[int], d2: list[float], counts, k: int, want: int, whole: bool = True) -> list[int] | None:
     """Cells by rising summed distance until they hold WANT vectors: the multi-sequence traversal. Lists that are not WHOLE
     give None if their end is reached before."""
@@ -199,7 +208,8 @@ def fit(rows: DataFrame, n: int, dim: int) -> dict:
     half = dim // 2
     c1, c2 = kmeans(x[:, :half], k), kmeans(x[:, half:], k)
     blocks = -(-n // ROWS_A_BLOCK)
-    b1, b2 = blocks_of(c1, min(k, blocks)), blocks_of(c2, min(k, -(-blocks // k)))
+    weights = [np.bincount(nearest_centroids(h, c), minlength=k) + 1.0 for h, c in ((x[:, :half], c1), (x[:, half:], c2))]
+    b1, b2 = blocks_of(c1, min(k, blocks), weights[0]), blocks_of(c2, min(k, -(-blocks // k)), weights[1])
     return {"k": k, "c1": c1, "c2": c2, "b1": b1, "b2": b2, "wide": int(b2.max()) + 1}
 
 
@@ -226,8 +236,7 @@ def indexed(rows: DataFrame, model, dim: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = unit(as_matrix(batch.column(1), dim))
-            step = max(64, (1 << 22) // m["k"])
-            near = [np.concatenate([np.argmin(distances(h[i : i + step], c), 1) for i in range(0, len(h), step)]) for h, c in ((x[:, :half], m["c1"]), (x[:, half:], m["c2"]))]
+            near = [nearest_centroids(h, c) for h, c in ((x[:, :half], m["c1"]), (x[:, half:], m["c2"]))]
             cell = near[0] * m["k"] + near[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(packed(x), pa.binary())], names=["vid", "cell", "vec"])
 
@@ -285,16 +294,16 @@ def similar_pairs(rows: DataFrame, top: int = 5, want: int = CANDIDATES, dim: in
     asked = probes(index, sent, spark.sparkContext.broadcast(sizes), dim, want)
     at = lambda of, c: F.element_at(F.lit([int(b) for b in of]), c.cast("int") + 1)
     held = index.withColumn("block", at(model["b1"] * wide, F.floor(F.col("cell") / k)) + at(model["b2"], F.col("cell") % k))
-    key = ["block"]
-    # blocks of one dense list: few, since all blocks together hold every vector once
-    dense = [(int(b), int(-(-per_block[b] // BLOCK_ROWS)), int(max(1, -(-4 * per_block[b] // BLOCK_QUERIES)))) for b in np.flatnonzero(per_block > BLOCK_ROWS)]
-    if dense:
-        splits = F.broadcast(spark.createDataFrame(dense, "block int, vs int, qs int")) if len(dense) <= 100_000 else spark.createDataFrame(dense, "block int, vs int, qs int")
-        one = F.lit(1)
-        held = held.join(splits, "block", "left").withColumn("vsalt", F.pmod(F.xxhash64("vid"), F.coalesce("vs", one)).cast("int")).withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.coalesce("qs", one) - 1))).drop("vs", "qs")
-        asked = asked.join(splits, "block", "left").withColumn("qsalt", F.pmod(F.hash("vid"), F.coalesce("qs", one)).cast("int")).withColumn("vsalt", F.explode(F.sequence(F.lit(0), F.coalesce("vs", one) - 1))).drop("vs", "qs")
-        key = ["block", "vsalt", "qsalt"]
-    parts = min(PARTITIONS, max(2 * len(per_block), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # a block meets about four queries a vector; a task takes BLOCK_QUERIES of them, and BLOCK_ROWS vectors of a dense list
+    splits = [(b, max(1, -(-int(n) // BLOCK_ROWS)), max(1, -(-4 * int(n) // BLOCK_QUERIES))) for b, n in enumerate(per_block)]
+    tasks = sum(v * q for _, v, q in splits)
+    splits = spark.createDataFrame(splits, "block int, vs int, qs int")  # n / ROWS_A_BLOCK rows
+    splits = F.broadcast(splits) if len(per_block) <= 100_000 else splits
+    salts = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    held = held.join(splits, "block").withColumn("vsalt", F.pmod(F.xxhash64("vid"), F.col("vs")).cast("int")).withColumn("qsalt", salts("qs")).drop("vs", "qs")
+    asked = asked.join(splits, "block").withColumn("qsalt", F.pmod(F.hash("vid"), F.col("qs")).cast("int")).withColumn("vsalt", salts("vs")).drop("vs", "qs")
+    key = ["block", "vsalt", "qsalt"]
+    parts = min(PARTITIONS, max(8 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = held.repartition(parts, *key).groupBy(*key).cogroup(asked.repartition(parts, *key).groupBy(*key)).applyInPandas(lambda a, b: nearest(a, b, top, dim, k), "q long, v long, sim float")
     # the few best classes of each class; six ids a class suffice
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "v"))), 1, top).alias("near"))

@@ -110,7 +110,7 @@ def test_similar_beyond_the_largest_k(spark, monkeypatch):
     want = {tuple(sorted((f"{i:03d}", f"{j:03d}"))) for i in range(900) for j in np.argsort(-s[i])[:5]}
     monkeypatch.setattr(similar, "ROWS_A_BLOCK", 100)
     monkeypatch.setattr(similar, "LARGEST_K", 4)  # 56 vectors a list, 9 blocks on 4 x 3 groups of centroids
-    for block_rows in (16_384, 20):
+    for block_rows in (65_536, 20):
         monkeypatch.setattr(similar, "BLOCK_ROWS", block_rows)
         monkeypatch.setattr(similar, "BLOCK_QUERIES", 16 * block_rows)
         got = set(map(tuple, similar.similar_pairs(data).collect()))
