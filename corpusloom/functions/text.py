@@ -11,9 +11,9 @@ WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # What the index leaves out.
-SKIP_DIRS = ".git node_modules bin obj dist build venv .venv target vendor packages .idea .vs testdata test-data fixtures __snapshots__ locales i18n l10n".split()
-SKIP_EXT = ".png .jpg .jpeg .gif .ico .pdf .zip .dll .exe .so .pdb .woff .woff2 .ttf .svg .csv .tsv .parquet .map".split()
-SKIP_FILENAMES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock cargo.lock composer.lock packages.lock.json pipfile.lock gemfile.lock bun.lock".split()
+SKIP_DIRS = [".git", "node_modules", "bin", "obj", "dist", "build", "venv", ".venv", "target", "vendor", "packages", ".idea", ".vs", "testdata", "test-data", "fixtures", "__snapshots__", "locales", "i18n", "l10n"]
+SKIP_EXT = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".dll", ".exe", ".so", ".pdb", ".woff", ".woff2", ".ttf", ".svg", ".csv", ".tsv", ".parquet", ".map"]
+SKIP_FILENAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "cargo.lock", "composer.lock", "packages.lock.json", "pipfile.lock", "gemfile.lock", "bun.lock"]
 MAX_FILE_BYTES = 1_000_000
 #: Beginnings of lines that only import.
 IMPORT_LINE = r"^\s*(?:using\s+[\w.]+\s*;|import\s|from\s+\S+\s+import\s|#include\s|require\s*\(|use\s+[\w:]+\s*;|extern\s+crate\s)"

@@ -1,13 +1,15 @@
 """Pull requests of a paged service as a Python data source, batch or stream.
 
-Options: base_url, project, repo, token, since (highest id already read), fetch (import path of a function used instead of
-HTTP, for tests: fetch(url) -> decoded JSON). The stream's offset is the highest pull request id.
+Options: base_url, token, fetch (import path of a function used instead of HTTP, for tests: fetch(url) -> decoded JSON), and
+the repositories: project, repo, since (highest id already read), or `repos`, a JSON list of [project, repo, since]. A batch
+read has one partition a repository. The stream's offset is the highest pull request id of each repository.
 """
 
 from __future__ import annotations
 
 import base64
 import importlib
+import itertools
 import json
 import time
 import urllib.error
@@ -15,7 +17,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, urlencode
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 PAGE = 100
@@ -61,27 +63,28 @@ def work_items(get: Callable, base: str, project: str, repo: str, pr: int) -> li
     return sorted(int(x["id"]) for x in get(items_url(base, project, repo, pr)).get("value", []))
 
 
-def new_pull_requests(get: Callable, base: str, project: str, repo: str, since: int) -> list[dict]:
-    """Pull requests above SINCE by rising id. Pages come newest first; a page that is empty or holds an old one is the last."""
-    found, skip = [], 0
-    while True:
-        page = get(pulls_url(base, project, repo, skip)).get("value", [])
-        new = [p for p in page if int(p["pullRequestId"]) > since]
-        found += new
-        if not page or len(new) < len(page):
-            break
-        skip += len(page)
-    return [
-        {"pr_id": int(p["pullRequestId"]), "title": p.get("title") or "", "description": p.get("description") or "", "created_date": p.get("creationDate") or "", "work_item_ids": work_items(get, base, project, repo, int(p["pullRequestId"]))}
-        for p in sorted(found, key=lambda p: int(p["pullRequestId"]))
-    ]
+def pages(get: Callable, base: str, project: str, repo: str) -> Iterator[list[dict]]:
+    """The pages of a repository's pull requests, newest first, up to the first that is not full."""
+    for k in itertools.count():
+        page = get(pulls_url(base, project, repo, k * PAGE)).get("value", [])
+        yield page
+        if len(page) < PAGE:
+            return
+
+
+def new_pull_requests(get: Callable, base: str, project: str, repo: str, since: int) -> list[tuple]:
+    """Rows of SCHEMA of the pull requests above SINCE by rising id; no page behind the first known one is asked for."""
+    newest_first = itertools.chain.from_iterable(pages(get, base, project, repo))
+    fresh = itertools.takewhile(lambda p: int(p["pullRequestId"]) > since, newest_first)
+    rows = [(project, repo, int(p["pullRequestId"]), *(p.get(name) or "" for name in ("title", "description", "creationDate"))) for p in fresh]
+    return [(*r, work_items(get, base, project, repo, r[2])) for r in sorted(rows)]
 
 
 class _Service:
     def __init__(self, options: dict) -> None:
-        self.base, self.project, self.repo = (options[k] for k in ("base_url", "project", "repo"))
-        self.since = int(options.get("since", 0))
-        self.token, self.named = options.get("token", ""), options.get("fetch")
+        self.base, self.token, self.named = options["base_url"], options.get("token", ""), options.get("fetch")
+        listed = json.loads(options["repos"]) if "repos" in options else [[options["project"], options["repo"], options.get("since", 0)]]
+        self.since = {(project, repo): int(since) for project, repo, since in listed}
 
     def getter(self) -> Callable:
         if self.named:
@@ -89,8 +92,8 @@ class _Service:
             return getattr(importlib.import_module(module), name)
         return session(self.token)
 
-    def rows(self, since: int) -> list[tuple]:
-        return [(self.project, self.repo, p["pr_id"], p["title"], p["description"], p["created_date"], p["work_item_ids"]) for p in new_pull_requests(self.getter(), self.base, self.project, self.repo, since)]
+    def rows(self, project: str, repo: str, since: int) -> list[tuple]:
+        return new_pull_requests(self.getter(), self.base, project, repo, since)
 
 
 class PullRequestSource(DataSource):
@@ -110,24 +113,39 @@ class PullRequestSource(DataSource):
         return _Stream(self.options)
 
 
+class _Repository(InputPartition):
+    def __init__(self, project: str, repo: str, since: int) -> None:
+        super().__init__((project, repo, since))
+
+
 class _Batch(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.service = _Service(dict(options))
 
-    def read(self, partition) -> Iterator[tuple]:
-        yield from self.service.rows(self.service.since)
+    def partitions(self) -> list[InputPartition]:
+        return [_Repository(*key, since) for key, since in self.service.since.items()]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.service.rows(*partition.value)
 
 
 class _Stream(SimpleDataSourceStreamReader):
+    """Offsets: {"project/repo as JSON": highest id}."""
+
     def __init__(self, options: dict) -> None:
         self.service = _Service(dict(options))
 
     def initialOffset(self) -> dict:
-        return {"last_pr_id": self.service.since}
+        return {json.dumps(key): since for key, since in self.service.since.items()}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self.service.rows(int(start["last_pr_id"]))
-        return iter(rows), {"last_pr_id": max([int(start["last_pr_id"]), *(r[2] for r in rows)])}
+        rows = [r for key, since in start.items() for r in self.service.rows(*json.loads(key), int(since))]
+        top: dict[str, int] = {}
+        for r in rows:
+            key = json.dumps((r[0], r[1]))
+            top[key] = max(top.get(key, 0), r[2])
+        return iter(rows), start | top
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for r in self.service.rows(int(start["last_pr_id"])) if r[2] <= int(end["last_pr_id"])])
+        rows, _ = self.read(start)
+        return (r for r in rows if r[2] <= int(end[json.dumps((r[0], r[1]))]))

@@ -27,18 +27,19 @@ def fake_fetch(url):
 
 
 def test_config(spark, tmp_path):
-    c = {"repos": {"b": None, "a": ["x", {"name": "y", "branch": "m"}, {"no": 1}], "c": 5, "d": "z"}, "azure_devops": {"index_wikis": True}}
-    assert config.repo_rows(c) == [("b", "b", None), ("a", "x", None), ("a", "y", "m"), ("d", "z", None)]
-    assert [r["name"] for r in config.repos(spark, c).where("content_type = 'wiki'").collect()] == ["a.wiki", "b.wiki", "d.wiki"]
-    assert config.option({}, "index_wikis") is False
+    c = {"repos": {"b": None, "a": ["x", {"name": "y", "branch": "m"}, {"no": 1}, None, "null-ish"], "c": 5, "d": "z \"q\"", "e": {"name": "w"}, "f": []}, "azure_devops": {"index_wikis": True}}
+    assert [tuple(r) for r in config.repo_rows(spark, c).collect()] == [("b", "b", None), ("a", "x", None), ("a", "y", "m"), ("a", "null-ish", None), ("d", 'z "q"', None), ("e", "w", None)]
+    assert [(r["project"], r["problem"][:7]) for r in config.checked(spark, c).where("problem is not null").collect()] == [("a", "an entr"), ("a", "an entr"), ("c", "neither")]
+    assert [r["name"] for r in config.repos(spark, c).where("content_type = 'wiki'").collect()] == ["a.wiki", "b.wiki", "d.wiki", "e.wiki"]
+    assert config.option({}, "index_wikis") is False and config.repos(spark, {}).count() == 0
     (tmp_path / "c.json").write_text('{"repos": {"q": null}}')
-    assert config.repo_rows(config.load_config(str(tmp_path / "c.json"))) == [("q", "q", None)]
+    assert [tuple(r) for r in config.repo_rows(spark, config.load_config(str(tmp_path / "c.json"))).collect()] == [("q", "q", None)]
 
 
 def test_paging():
     CALLS.clear()
     rows = pr.new_pull_requests(fake_fetch, "http://h", "p", "r", 203)
-    assert [r["pr_id"] for r in rows] == [204, 205] and rows[0]["work_item_ids"] == [4, 9] and rows[0]["description"] == ""
+    assert rows == [("p", "r", 204, "t204", "", "d", [4, 9]), ("p", "r", 205, "t205", "", "d", [4, 9])]
     assert sum("workitems" not in c for c in CALLS) == 1
     assert len(pr.new_pull_requests(fake_fetch, "http://h", "p", "r", 0)) == 205
     assert pr.backoff("3", 0) == 3 and pr.backoff(None, 1) == 4 and pr.backoff("x", 9) == 60
@@ -48,6 +49,12 @@ def test_data_source(spark):
     spark.dataSource.register(pr.PullRequestSource)
     df = spark.read.format("pull_requests").options(base_url="http://h", project="p", repo="r", since=200, fetch="tests.test_index.fake_fetch").load()
     assert [r["pr_id"] for r in df.orderBy("pr_id").collect()] == [201, 202, 203, 204, 205]
+    # one partition a repository
+    many = spark.read.format("pull_requests").options(base_url="http://h", repos='[["p", "r", 203], ["p", "s", 204], ["q", "t", 205]]', fetch="tests.test_index.fake_fetch").load()
+    assert many.rdd.getNumPartitions() == 3 and {(r["project"], r["repo"], r["pr_id"]) for r in many.collect()} == {("p", "r", 204), ("p", "r", 205), ("p", "s", 205)}
+    stream = pr._Stream({"base_url": "http://h", "repos": '[["p", "r", 203], ["q", "t", 205]]', "fetch": "tests.test_index.fake_fetch"})
+    rows, end = stream.read(stream.initialOffset())
+    assert [r[2] for r in rows] == [204, 205] and list(end.values()) == [205, 205] and len(list(stream.readBetweenOffsets(stream.initialOffset(), end))) == 2
 
 
 @pytest.fixture
