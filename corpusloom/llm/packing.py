@@ -1,9 +1,14 @@
 """Filling fixed-capacity containers (problem 9) by hierarchical residual packing.
 
 Level 0: items are hashed into parts of about ITEMS_A_PART and packed best-fit decreasing within each part. Bins filled to
-at least 1 - TOLERANCE leave; the underfull ones become items of the next level, where FAN_IN parts are merged and packed
-again, up to one part. A part hands on at most HANDED_ON bins, those with the most room; further ones leave as they are,
-so no task grows with the data when items cannot be combined (all above half the capacity).
+at least 1 - TOLERANCE are done; of the underfull ones only name and fill go up as items of the next level, where FAN_IN
+parts are merged and packed again, up to one part. What a level merges is a small table of renamed bins; the members are
+joined with it once at the end.
+
+What goes up is bounded without loss. Best fit leaves at most one bin of a part filled to half or less, and two bins above
+half never fit together, so a merge of FAN_IN parts can use at most FAN_IN bins of any one fill: of each fill a part hands
+on the first FAN_IN, and the others could not have been used. A task so meets at most FAN_IN * FAN_IN bins of each of at
+most capacity / 2 fills, whatever the data.
 
 Defined results: an item above the capacity is split into full containers and a rest, which is packed; items of size 0
 or null take no space and come out with a null container; repeated item keys are separate items only by their key and
@@ -12,18 +17,19 @@ piece, so callers give distinct keys.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import saved
 
-ITEMS_A_PART, FAN_IN, TOLERANCE, HANDED_ON = 20_000, 8, 0.002, 20_000
+ITEMS_A_PART, FAN_IN, TOLERANCE = 20_000, 8, 0.002
 
-BIN = "budget_id int, capacity int, part long, bin string, fill int, items array<struct<item:long,piece:int,tokens:int>>"
+#: Merged bins up to which their new names are broadcast (counted; about 60 bytes each).
+RENAMED = 500_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -49,23 +55,48 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One part: bins (rows with items and fill) into fuller bins."""
+def handed_on(bins: list[tuple[str, int]], capacity: int) -> list[bool]:
+    """Which bins (name, fill) of a packed part go up."""
+    seen: Counter[int] = Counter()
+    up = [False] * len(bins)
+    for k in sorted(range(len(bins)), key=lambda i: bins[i][0]):
+        fill = bins[k][1]
+        if fill < capacity * (1 - TOLERANCE):
+            seen[fill] += 1
+            up[k] = seen[fill] <= FAN_IN
+    return up
+
+
+def pack_items(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 0: the items of a part with their bins; the first row of a bin that goes up carries its fill."""
+    capacity = int(pdf["capacity"].iat[0])
+    pdf = pdf.sort_values("bin", kind="stable").reset_index(drop=True)
+    names, sizes = pdf["bin"].tolist(), pdf["tokens"].tolist()
+    members = best_fit(sizes, capacity)
+    bins = [(min(names[k] for k in m), sum(sizes[k] for k in m)) for m in members]
+    name, fill = [""] * len(pdf), np.zeros(len(pdf), np.int32)
+    for m, (bin_name, total), up in zip(members, bins, handed_on(bins, capacity)):
+        for k in m:
+            name[k] = bin_name
+        if up:
+            fill[m[0]] = total
+    pdf["bin"], pdf["fill"] = name, fill
+    return pdf[["budget_id", "capacity", "part", "item", "piece", "tokens", "bin", "fill"]]
+
+
+def pack_bins(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A further level: bins of merged parts; `was` is a bin's old name, `fill` is set on one row of a bin that goes up."""
     capacity = int(pdf["capacity"].iat[0])
-    pdf = pdf.sort_values("bin", kind="stable")
-    fills, items, names = pdf["fill"].tolist(), pdf["items"].tolist(), pdf["bin"].tolist()
+    pdf = pdf.sort_values("bin", kind="stable").reset_index(drop=True)
+    names, fills = pdf["bin"].tolist(), pdf["fill"].tolist()
+    members = best_fit(fills, capacity)
+    bins = [(min(names[k] for k in m), sum(fills[k] for k in m)) for m in members]
     rows = []
-    for members in best_fit(fills, capacity):
-        rows.append((min(names[k] for k in members), sum(fills[k] for k in members), [x for k in members for x in items[k]]))
-    out = pd.DataFrame(rows, columns=["bin", "fill", "items"])
+    for m, (name, total), up in zip(members, bins, handed_on(bins, capacity)):
+        rows += [(names[k], name, total if up and k == m[0] else 0) for k in m if len(m) > 1 or up]
+    out = pd.DataFrame(rows, columns=["was", "bin", "fill"])
     out["budget_id"], out["capacity"], out["part"] = pdf["budget_id"].iat[0], capacity, pdf["part"].iat[0]
-    # what goes up: underfull bins, of these the ones with the most room
-    under = out.index[out["fill"] < capacity * (1 - TOLERANCE)]
-    if len(under) > HANDED_ON:
-        under = heapq.nsmallest(HANDED_ON, under, key=lambda i: (out.at[i, "fill"], out.at[i, "bin"]))
-    done = ~out.index.isin(under)
-    out.loc[done, "part"] = -1
-    return out[["budget_id", "capacity", "part", "bin", "fill", "items"]]
+    return out[["budget_id", "capacity", "part", "was", "bin", "fill"]]
 
 
 def pack(items: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -88,19 +119,28 @@ def pack(items: DataFrame, budgets: DataFrame) -> DataFrame:
         "capacity",
         F.pmod(F.xxhash64("item", "piece"), F.lit(parts)).alias("part"),
         F.concat_ws(".", F.lpad(F.col("item").cast("string"), 20, "0"), "piece").alias("bin"),
-        F.col("tokens").alias("fill"),
-        F.array(F.struct("item", "piece", "tokens")).alias("items"),
+        "item",
+        "piece",
+        "tokens",
     )
-    done = None
-    while True:
-        packed = saved(level.groupBy("budget_id", "part").applyInPandas(pack_part, BIN), "bins")
-        out = packed if parts == 1 else packed.where("part < 0")
-        done = out if done is None else done.unionByName(out)
-        if parts == 1:
-            break
-        level = packed.where("part >= 0").withColumn("part", F.floor(F.col("part") / FAN_IN))
+    packed = saved(level.groupBy("budget_id", "part").applyInPandas(pack_items, "budget_id int, capacity int, part long, item long, piece int, tokens int, bin string, fill int"), "items")
+    bins = packed.where("fill > 0").select("budget_id", "capacity", "part", "bin", "fill")
+    renamed = None  # budget_id, was, bin: the name a bin has after all levels so far
+    while parts > 1:
         parts = -(-parts // FAN_IN)
-    # each item is in one bin of `done`; the bin's name is the smallest of its pieces' names
-    flat = done.select("budget_id", F.col("bin").alias("container_id"), F.explode("items").alias("i")).select("budget_id", "container_id", "i.item", "i.piece", "i.tokens")
+        merged = saved(bins.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("budget_id", "part").applyInPandas(pack_bins, "budget_id int, capacity int, part long, was string, bin string, fill int"), "bins")
+        bins = merged.where("fill > 0").select("budget_id", "capacity", "part", "bin", "fill")
+        moved = merged.where("was <> bin").select("budget_id", "was", "bin")
+        if renamed is None:
+            renamed = moved
+        else:  # a bin renamed before may be renamed again
+            again = moved.select("budget_id", F.col("was").alias("bin"), F.col("bin").alias("now"))
+            renamed = saved(renamed.join(again, ["budget_id", "bin"], "left").select("budget_id", "was", F.coalesce("now", "bin").alias("bin")).unionByName(moved), "renamed")
+    flat = packed.select("budget_id", F.col("bin").alias("was"), "item", "piece", "tokens")
+    if renamed is None:
+        flat = flat.withColumnRenamed("was", "container_id")
+    else:
+        small = renamed.count() <= RENAMED
+        flat = flat.join(F.broadcast(renamed) if small else renamed, ["budget_id", "was"], "left").select("budget_id", F.coalesce("bin", "was").alias("container_id"), "item", "piece", "tokens")
     empty = cross.where("tokens <= 0").select("budget_id", F.lit(None).cast("string").alias("container_id"), "item", F.lit(0).alias("piece"), F.lit(0).alias("tokens"))
-    return flat.unionByName(empty)
+    return flat.select("budget_id", "container_id", "item", "piece", "tokens").unionByName(empty)

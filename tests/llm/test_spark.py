@@ -193,6 +193,19 @@ def test_packing_over_levels(spark, monkeypatch):
     assert out["n"].sum() == 3000 and out["t"].max() <= 100 and len(out) <= 1.03 * len(whole)
 
 
+@pytest.mark.parametrize("sizes", ["cast(1 + (id * 37) % 90 as int)", "cast(51 + (id * 7) % 30 as int)", "cast(if(id % 50 = 0, 20, 60 + (id * 3) % 25) as int)"])
+def test_handing_on_few_bins_loses_nothing(spark, monkeypatch, sizes):
+    """The same number of containers as when every underfull bin goes up, also where hardly any two fit together."""
+    monkeypatch.setattr(packing, "ITEMS_A_PART", 60)
+    items = spark.range(4000).selectExpr("id as item", f"{sizes} as tokens")
+    budgets = spark.createDataFrame([(1, 100)], "budget_id int, capacity_tokens int")
+    few = packing.pack(items, budgets).groupBy("container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).toPandas()
+    assert few["n"].sum() == 4000 and few["t"].max() <= 100
+    monkeypatch.setattr(packing, "handed_on", lambda bins, capacity: [True] * len(bins))
+    every = packing.pack(items, budgets).select("container_id").distinct().count()
+    assert len(few) == every
+
+
 def test_sentence_positions(spark):
     d = docs(spark, [(1, "  The one is on. The two is off.\n", "wiki", None, None), (2, None, "wiki", None, None), (3, "", "pr", None, None), (4, "The x. The y.", "code", None, None), (5, "The x.", None, None, None), (5, "The x.", None, None, None)])
     got = sorted(map(tuple, sentences.sentences(d).collect()))
