@@ -71,7 +71,7 @@ def test_symbols(spark, lang):
 
 
 TYPED = [
-    ("int add (int a)", ["add"]), ("  public static Foo<A, B>[] make_it(x)", ["make_it"]), ("return f(x)", []), ("naïve\tcall()", []), ("f(x)", []), ("a b c d e(", ["e"]),
+    ("int add (int a)", ["add"]), ("  public static Foo<A, B>[] make_it(x)", ["make_it"]), ("return f(x)", []), ("naïve\tcall()", ["call"]), ("f(x)", []), ("a b c d e(", ["e"]),
     ("void\n f()", []), ("Foo::Bar *& get()\nint y = z(1)", ["get"]), ("new T(1)", []), ("newer T(1)", ["T"]), ("else if (x)", []), ("x.y z (", ["z"]), ("\tint f(\n  int g(", ["f", "g"]),
 ]
 
