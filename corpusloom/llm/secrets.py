@@ -4,7 +4,7 @@ A dictionary of the words that identifiers of the whole corpus consist of is cou
 contexts (key and value, headers, connection strings, URLs, name and value pairs, comments) are then segmented into
 dictionary words by Viterbi; what no word, separator or trailing number explains is the residual. A value whose residual
 is long is a secret unless it has a known format of hashes, ids or public data; under a key that names a password an
-explained value with a digit or sign counts too. Placeholders and references never count. Values have any length; a
+explained value with a digit or sign counts too, blanks included, and a passphrase of words. Placeholders and references never count. Values have any length; a
 literal that is no secret is searched for pairs within it.
 
 Redaction replaces the characters of the secrets and nothing else; line breaks within private keys stay.
@@ -31,6 +31,10 @@ from corpusloom.session import spread
 VOCABULARY, WORD_LETTERS, LONGEST = 30_000, 3, 20
 #: Unexplained characters that make a value a secret: under a key that names one, and under any key.
 RESIDUAL_NAMED, RESIDUAL_ANY = 8, 14
+#: The same for a password of letters only, and for one in upper case in an address (not USER:PASSWORD).
+RESIDUAL_LETTERS, RESIDUAL_UPPER = 6, 4
+#: Signs that prose has too.
+_prose = str.maketrans("", "", " .,!?'’:;()")
 
 _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _private = re.compile(r"-----BEGIN[ \t]+(?:[A-Z0-9]+[ \t]+)*PRIVATE[ \t]+KEY(?:[ \t]+BLOCK)?-----.*?-----END[ \t]+(?:[A-Z0-9]+[ \t]+)*PRIVATE[ \t]+KEY(?:[ \t]+BLOCK)?-----", re.S | re.I)
@@ -128,12 +132,14 @@ class Segmenter:
 
 def is_secret(key: str, value: str, quoted: bool, plain: bool, seg: Segmenter) -> bool:
     """Whether VALUE under KEY is a secret. plain: unquoted values are literals in this language."""
-    if len(value) < 6 or " " in value:
+    if len(value) < 6:
         return False
     bare = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key).lower().replace("-", "_").replace(".", "_").strip("_")
     if _hashes.search(bare):
         return False
     password, token = _password.search(bare), _tokens.search(bare)
+    if " " in value and not (password and quoted):
+        return False
     if _labels.search(bare) and not bare.endswith("access_key_id"):
         return False
     if not (password or token) and not _solid.fullmatch(value):  # before the costly checks: an unquoted run may hold many pairs
@@ -143,8 +149,12 @@ def is_secret(key: str, value: str, quoted: bool, plain: bool, seg: Segmenter) -
     if password:
         if not (quoted or plain):
             return False
-        sign = any(c.isdigit() or not (c.isalnum() or c in "_-.") for c in value)
-        return sign and (seg.residual(value) > 0 or value != bare) and not re.fullmatch(r"[a-z_]+\(.*|[\w.]+\(.*", value)
+        sign = any(c.isdigit() or not (c.isalnum() or c in "_-.") for c in value.translate(_prose))
+        if " " in value and not sign:  # words alone are a passphrase only where the key says so
+            return "phrase" in bare and len(value.split()) > 3 and value.islower()
+        if not sign:  # letters only: what the dictionary does not explain
+            return seg.residual(value) >= RESIDUAL_LETTERS
+        return (seg.residual(value) > 0 or value != bare) and not re.fullmatch(r"[a-z_]+\(.*|[\w.]+\(.*", value)
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
     if not mixed and not (token and len(value) >= 20):
         return False
@@ -178,7 +188,7 @@ def secrets_of(text: str, language: str | None, seg: Segmenter) -> list[tuple[in
     for rx in (_userinfo, _connection, _basic_user):
         for m in rx.finditer(text):
             value = m.group("a")
-            if not _placeholder.search(value) and not value.isupper() and len(value) >= 4:
+            if not _placeholder.search(value) and len(value) >= 4 and not (value.isupper() and seg.residual(value) < RESIDUAL_UPPER):
                 add(*m.span("a"))
     for m in _hook.finditer(text):
         add(*m.span("a"))
