@@ -2,7 +2,7 @@
 
 Vendored files: files in a dependency folder or under a third-party banner are seeds and name a library. The inverted
 index holds the seeds' lines (hash of the letters and digits, so layout does not matter). Every file's lines are looked up
-in it, and a file of which a share of CONTAINED or more of the lines lies in a library of another repository is a copy,
+in it once, and a file of which a share of CONTAINED or more of the lines lies in a library of another repository is a copy,
 edited or not. Common lines are left out of that share: those of more than RARE (in large collections SHARE of all)
 unrelated files or libraries. A file of which a library holds RELATED or more of the lines is related to it and makes no
 line common, however many copies there are and whatever their names; where fewer than three rare lines agree, the whole
@@ -167,13 +167,18 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
     repos = marks.select(F.lower("repo").alias("lib")).distinct()
     seeds = marks.where("lib is not null").select("id", "lib").join(repos, "lib", "left_anti")
     flat = lines.select("id", *FILE, F.explode("lines").alias("line"))
-    indexed = flat.join(seeds, "id").groupBy("line", "lib").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"))
-    hits = saved(flat.join(indexed, "line"), "hits")
-    foreign = (F.col("repo") != F.col("r1")) | (F.col("repo") != F.col("r2"))
+    indexed = saved(flat.join(seeds, "id").groupBy("line", "lib").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2")), "index")
     total = lines.groupBy(*FILE).agg(F.sum(F.size("lines")).alias("total"))
+    # a line meets the index once, however many libraries hold it; only files with half their lines there meet the libraries,
+    # as no other can be related to one or a copy. A licence line of many files and many libraries so multiplies for copies only.
+    known = saved(flat.join(indexed.select("line").distinct(), "line", "left_semi"), "known")
+    near = known.groupBy(*FILE).agg(F.count("*").alias("inside")).join(total, FILE).where(F.col("inside") >= RELATED * F.col("total")).select(*FILE)
+    known_near = saved(known.join(near, FILE, "left_semi"), "near")
+    hits = saved(known_near.join(indexed, "line"), "hits")
+    foreign = (F.col("repo") != F.col("r1")) | (F.col("repo") != F.col("r2"))
     shares = saved(hits.groupBy(*FILE, "lib").agg(F.count("*").alias("held"), F.count_if(foreign).alias("whole")).join(total, FILE), "shares")
-    common_lines = saved(common(hits, shares, total.count()), "common")
-    skipped = hits.join(common_lines, "line", "left_semi").select("id", *FILE, "line").distinct().groupBy(*FILE).agg(F.count("*").alias("skipped"))
+    common_lines = saved(common(known, indexed, shares, total.count()), "common")
+    skipped = known_near.join(common_lines, "line", "left_semi").groupBy(*FILE).agg(F.count("*").alias("skipped"))
     found = hits.where(foreign).join(common_lines, "line", "left_anti").groupBy(*FILE, "lib").agg(F.count("*").alias("found"))
     judged_by = shares.where("whole >= 3").join(skipped, FILE, "left").join(found, [*FILE, "lib"], "left").na.fill(0, ["skipped", "found"])
     # where fewer than three rare lines agree, the whole line set decides
@@ -181,10 +186,10 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
     return marks.where("shown").select(*FILE).unionByName(copies).distinct()
 
 
-def common(hits: DataFrame, shares: DataFrame, files: int) -> DataFrame:
+def common(known: DataFrame, indexed: DataFrame, shares: DataFrame, files: int) -> DataFrame:
     """line: the lines that too many unrelated files or different libraries hold; exact counts."""
     related = shares.where(F.col("held") >= RELATED * F.col("total")).select(*FILE).distinct()
-    unrelated = hits.join(related, FILE, "left_anti").select("line", *FILE).distinct().groupBy("line").count().where(F.col("count") > max(RARE, files * SHARE))
-    libraries = shares.select("lib").distinct().count()
-    many = hits.select("line", "lib").distinct().groupBy("line").count().where(F.col("count") > max(RARE, libraries * SHARE))
+    unrelated = known.join(related, FILE, "left_anti").select("line", *FILE).distinct().groupBy("line").count().where(F.col("count") > max(RARE, files * SHARE))
+    libraries = indexed.select("lib").distinct().count()
+    many = indexed.groupBy("line").count().where(F.col("count") > max(RARE, libraries * SHARE))
     return unrelated.select("line").union(many.select("line")).distinct()
