@@ -85,6 +85,22 @@ class Tree(HTMLParser):
         self.nodes: list[Node] = []
         self.stack: list[list] = []  # [tag, hidden, text parts]
         self.loose: list[str] = []
+        self.rows: list[tuple[int, list[list[str]]]] = []  # open table rows: depth of their table, cells
+
+    def tables(self) -> int:
+        return sum(1 for x in self.stack if x[0] == "table")
+
+    def open_row(self) -> list[list[str]]:
+        """The row of the innermost table; one is implied where no tr began it."""
+        if not self.rows or self.rows[-1][0] != self.tables():
+            self.rows.append((self.tables(), []))
+        return self.rows[-1][1]
+
+    def close_row(self) -> None:
+        if self.rows and self.rows[-1][0] == self.tables():
+            cells = self.rows.pop()[1]
+            if any(cells):
+                self.nodes.append(("row", "\t".join(" ".join(c) for c in cells), 0))
 
     def depth(self) -> int:
         return sum(1 for x in self.stack if x[0] in ("ul", "ol", "menu"))
@@ -121,6 +137,10 @@ class Tree(HTMLParser):
                     break
         if tag in BLOCK:
             self.flush()
+        if tag == "tr":
+            self.close_row()
+        elif tag in ("td", "th"):
+            self.open_row().append([])
         hidden = tag in HIDDEN or "hidden" in a or "display:none" in re.sub(r"\s", "", a.get("style") or "").lower() or bool(self.stack and self.stack[-1][1])
         self.stack.append([tag, hidden, []])
 
@@ -158,11 +178,14 @@ class Tree(HTMLParser):
         found: list[Node] = []
         s = squeeze(give_back(take_formulas(s, found, False), found))
         if s and not (kind == "paragraph" and len(found) == 1 and squeeze(found[0][1]) == s):
-            self.nodes.append((kind, s, max(0, self.depth() - 1)))
+            if kind in ("cell", "paragraph") and self.rows and self.rows[-1][0] == self.tables() and self.rows[-1][1] and (self.inside("td") or self.inside("th")):
+                self.rows[-1][1][-1].append(s)
+            else:
+                self.nodes.append(("paragraph" if kind == "cell" else kind, s, max(0, self.depth() - 1)))
         self.nodes += found
 
     def kind(self, tag: str) -> str:
-        return "code_block" if tag == "pre" else "heading" if re.fullmatch("h[1-6]", tag) else "list_item" if tag == "li" else "row" if tag in ("td", "th") else "paragraph"
+        return "code_block" if tag == "pre" else "heading" if re.fullmatch("h[1-6]", tag) else "list_item" if tag == "li" else "cell" if tag in ("td", "th") else "paragraph"
 
     def flush(self) -> None:
         """Text before a block start is a block of its own."""
@@ -182,6 +205,8 @@ class Tree(HTMLParser):
                 continue
             if parts:
                 self.emit(self.kind(tag), parts)
+            if tag in ("tr", "table"):
+                self.close_row()
             self.stack.pop()
 
     def done(self) -> list[Node]:
@@ -450,26 +475,48 @@ def read_wiki(text: str) -> list[Node]:
             add("paragraph", "\n".join(para))
             para.clear()
 
+    row: list[str] = []  # cells up to the next row mark; a line may hold one cell or all
+
+    def close_row() -> None:
+        if row:
+            found: list[Node] = []
+            held = [int(x) for x in re.findall("\ue002(\\d+)\ue002", "".join(row))]
+            cells = [wiki_inline(re.sub("\ue002(\\d+)\ue002", lambda m: kept[int(m.group(1))][1] if kept[int(m.group(1))][0] == "formula" else "", c), found) for c in row]
+            if any(cells):
+                nodes.append(("row", "\t".join(cells), 0))
+            nodes.extend(kept[k] for k in held)
+            nodes.extend(found)
+            row.clear()
+
     for line in text.split("\n"):
         m = re.match(r"^\s*(={1,6})\s*(.+?)\s*\1\s*$", line)
         k = re.match(r"^\s{0,3}([*#]+[*#:;]*)\s*(.+)$", line)
         if m:
             close()
+            close_row()
             add("heading", m.group(2), len(m.group(1)))
         elif k:
             close()
+            close_row()
             add("list_item", k.group(2), len(k.group(1)) - 1)
         elif not line.strip() or re.match(r"^-{4,}\s*$", line) or re.match(r"^\s*(\{\||\|\}|\|-)", line):
             close()
+            if line.strip():
+                close_row()
+        elif re.match(r"^\s*\|\+", line):
+            close()
+            add("paragraph", line.strip()[2:])
         elif re.match(r"^\s*[|!]", line):
             close()
-            add("row", "\t".join(wiki_inline(c, []) for c in re.split(r"\|\||!!", line.strip()[1:])))
+            # attributes of a cell stand in front of a single bar
+            row.extend(re.sub(r"^[^|\[\]{}]*=[^|\[\]{}]*\|(?!\|)", "", c) for c in re.split(r"\|\||!!", line.strip()[1:]))
         elif _html_block.match(line) and not re.match(r"(?i)\s*<(?:br|hr)", line):
             close()
             nodes.extend(read_html(re.sub(r"'{2,5}", "", line)))
         else:
             para.append(re.sub(r"^\s*[:;]+\s*", "", line))
     close()
+    close_row()
     return nodes
 
 

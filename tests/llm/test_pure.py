@@ -128,6 +128,18 @@ def test_rendering():
     assert markup.render(None) is None and markup.render("") == ""
 
 
+def test_tables_are_aligned():
+    want = "before\n\nname  value\na     1\nlong  22\n\nafter"
+    html = "<p>before</p><table><thead><tr><th>name<th>value</tr></thead><tr><td>a</td><td><p>1</p></td></tr><tr><td><b>long</b><td>22</table><p>after</p>"
+    assert markup.render(html, "html") == want
+    assert markup.render(html.replace("<tr><td>a", "<td>a").replace("<thead><tr>", "").replace("</tr></thead>", "<tr>"), "html").count("name  value") == 1
+    wiki = "before\n{| class=\"x\"\n|-\n! name !! style=\"a\" | value\n|-\n| a\n| 1\n|-\n| '''long''' || 22\n|}\nafter"
+    assert markup.render(wiki, "wiki") == want
+    nested = "<table><tr><td>x</td><td><ul><li>one</li></ul></td></tr></table>"
+    assert ("list_item", "one") in markup.elements_of(nested, "html") and markup.render("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "html") == "in  ner\na   b"
+    assert ("formula", "x^2") in markup.elements_of("== h ==\n{|\n| <math>x^2</math> || y\n|}", "wiki")
+
+
 SEG = secrets.Segmenter([(w, 100) for w in "password token secret harbor tide client access key maple orbit draft thread work still deploy old service config value name".split()])
 
 
