@@ -6,7 +6,11 @@ far more often than types do, a collocation a pair around a period that is bound
 boundaries unusually often. Each period is then classified by these statistics and the writing of what follows; signs that
 end sentences in other scripts, quotations, ellipses and Thai spaces have rules of their own.
 
-Language: the script of the text decides; among Latin scripts frequent function words. The column lang is not trusted.
+Language: the script of the text decides; texts in Latin script, whatever their languages, are classified by naive Bayes over
+words, learned from the column lang of all documents. Single labels are not trusted, only their sum; without labels function
+words of four languages vote.
+
+The learned types have no cap: up to MODEL_ROWS of them are broadcast, more are joined to the documents that ask for them.
 
 Blocks: paragraphs, list items and quoted lines end a sentence at their end; heading lines and fenced code hold none.
 
@@ -19,11 +23,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tokenize import text_slices
@@ -33,8 +37,11 @@ from corpusloom.session import saved, spread
 ABBREVIATION, COLLOCATION, STARTER, LONGEST = 0.3, 7.88, 30.0, 9
 #: Times a type must occur with a period before it can be an abbreviation.
 EVIDENCE = 3
-#: Learned types that come to the driver; beyond it the rarest are left to the general rules.
+#: Learned types up to which they come to the driver and are broadcast; beyond, documents are joined with them.
 MODEL_ROWS = 200_000
+#: Bounds of the language classifier: most frequent words of each language, languages (most documents first), and documents
+#: a label needs.
+LANGUAGE_WORDS, LANGUAGES, LABELLED = 3000, 100, 20
 
 _words = {
     "en": "the and of to is in that it with as for on before without".split(),
@@ -53,14 +60,42 @@ _letters = {"de": "äöüßÄÖÜ", "fr": "èêçàùœîôâ", "es": "ñ¿¡á
 _scripts = [("ja", range(0x3000 + 0x80 >> 7, 0x3100 >> 7)), ("zh", range(0x4E00 >> 7, 0xA000 >> 7)), ("th", range(0x0E00 >> 7, 0x0E80 >> 7)), ("ar", range(0x0600 >> 7, 0x0700 >> 7)), ("hi", range(0x0900 >> 7, 0x0980 >> 7)), ("ru", range(0x0400 >> 7, 0x0500 >> 7))]
 
 
-def language(text: str) -> str:
-    """Language of prose: the script that holds a share of its characters, else the most function words."""
+def script(text: str) -> str | None:
+    """The language that the script tells: that of the script that holds a share of the characters; None for others."""
     if not text.isascii():
         units = np.bincount(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) >> 7, minlength=512)
         for name, at in _scripts:
             found = int(units[list(at)].sum())
             if found >= 8 and found * 30 >= len(text) or found * 3 > len(text):
                 return name
+    return None
+
+
+class Languages:
+    """Naive Bayes over words: (language, word, count) of labelled documents and documents by language."""
+
+    def __init__(self, words: list[tuple[str, str, int]], documents: dict[str, int]) -> None:
+        self.names = sorted({x for x, _, _ in words})
+        self.at = {w: i for i, w in enumerate(sorted({w for _, w, _ in words}))}
+        counts = np.full((len(self.at), len(self.names)), 0.5)
+        for name, w, n in words:
+            counts[self.at[w], self.names.index(name)] += n
+        self.logs = np.log(counts / counts.sum(0))
+        self.prior = np.log(np.array([documents[x] for x in self.names], float))
+
+    def of(self, text: str) -> str | None:
+        found = [(i, n) for w, n in Counter(text.lower().split()).items() if (i := self.at.get(w)) is not None]
+        if not found:
+            return None
+        i, n = np.array(found).T
+        return self.names[int(np.argmax(self.prior + n @ self.logs[i]))]
+
+
+def language(text: str, known: Languages | None = None) -> str:
+    """Language of prose."""
+    name = script(text) or (known.of(text) if known is not None and known.names else None)
+    if name:
+        return name
     votes = dict.fromkeys(_languages, 0)
     if not text.isascii():
         for name, letters in _letters.items():
@@ -71,6 +106,31 @@ def language(text: str) -> str:
     return max(_languages, key=lambda k: (votes[k], k == "en"))
 
 
+def learn_languages(docs: DataFrame) -> Languages:
+    """The classifier, from the words of all documents (text, lang) without a script of their own; the primary part of a
+    label counts (en of en-GB), `und` is none. At most LANGUAGES * LANGUAGE_WORDS rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 0):
+            total: Counter = Counter()
+            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                prose = "\n".join(text[a:b] for a, b in blocks(text))
+                if script(prose) is None:
+                    total[name, ""] += 1
+                    total.update((name, w) for w in prose.lower().split() if len(w) <= 20 and w.isalpha())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in total], pa.string()), pa.array([w for _, w in total], pa.string()), pa.array(total.values(), pa.int64())], names=["lang", "word", "n"])
+
+    if "lang" not in docs.columns:
+        return Languages([], {})
+    label = F.regexp_extract(F.lower("lang"), "^([a-z]{2,8})(?:[-_]|$)", 1)
+    labelled = docs.select("text", label.alias("lang")).where("lang <> '' and lang <> 'und'")
+    counts = saved(labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    documents = {r[0]: r[1] for r in counts.where(f"word = '' and n >= {LABELLED}").orderBy(F.desc("n"), "lang").select("lang", "n").limit(LANGUAGES).collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    words = counts.where((F.col("word") != "") & (F.col("n") > 1) & F.col("lang").isin(*documents)).withColumn("r", rank).where(F.col("r") <= LANGUAGE_WORDS)
+    return Languages([(r["lang"], r["word"], r["n"]) for r in words.select("lang", "word", "n").collect()], documents)
+
+
 # ---- blocks ---------------------------------------------------------------------------------------------------------
 
 _line = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
@@ -168,7 +228,7 @@ def shape(token: str) -> str:
     return "##" if re.fullmatch(r"\d+(?:[.,]\d+)*", t) else t
 
 
-def count_types(texts: Iterator[str]) -> Counter:
+def count_types(texts: Iterator[str], known: Languages | None = None) -> Counter:
     """Counts by (language, kind, first, second): w types without and p with a final period, b pairs around a period,
     s all followers of a sure end, n tokens."""
     raw: dict[str, Counter] = {}
@@ -176,7 +236,7 @@ def count_types(texts: Iterator[str]) -> Counter:
     total: Counter = Counter()
     for text in texts:
         parts = [text[a:b] for a, b in blocks(text)]
-        lang = language("\n".join(parts))
+        lang = language("\n".join(parts), known)
         c, p = raw.setdefault(lang, Counter()), pairs.setdefault(lang, Counter())
         for part in parts:
             tokens = part.split()
@@ -215,12 +275,12 @@ def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2 * (like(k1, n1, p1) + like(k2, n2, p2) - like(k1, n1, p) - like(k2, n2, p))
 
 
-def learn(docs: DataFrame) -> dict[str, dict[str, set]]:
-    """By language the sets abbreviations, collocations and starters, from all documents."""
+def learn(docs: DataFrame, known=None) -> DataFrame:
+    """The learned types of all documents: lang, kind (abbr, coll or start), a, b. KNOWN: broadcast classifier of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0):
-            c = count_types(x for x in batch.column(0).to_pylist() if x)
+            c = count_types((x for x in batch.column(0).to_pylist() if x), known.value if known else None)
             if c:
                 keys = list(zip(*c))
                 yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(c.values(), pa.int64())], names=["lang", "kind", "a", "b", "n"])
@@ -239,9 +299,9 @@ def learn(docs: DataFrame) -> dict[str, dict[str, set]]:
     score = strength * F.exp(-letters) * dots * F.pow(letters, -F.col("cw").cast("double"))
     abbreviations = saved(t.where(more & (score >= ABBREVIATION) & (F.col("cp") >= EVIDENCE)).select("lang", "a", "cp"), "abbr")
     pairs = of("b").select("lang", "a", "b", "n").join(F.broadcast(sums), "lang")
-    known = abbreviations.select("lang", "a").withColumn("abbr", F.lit(True))
+    short = abbreviations.select("lang", "a").withColumn("abbr", F.lit(True))
     small = abbreviations.count() <= MODEL_ROWS
-    marked = pairs.join(F.broadcast(known) if small else known, ["lang", "a"], "left")
+    marked = pairs.join(F.broadcast(short) if small else short, ["lang", "a"], "left")
     follow = marked.where("abbr is null and a <> '##' and length(a) > 1 and length(b) > 1").groupBy("lang", "b").agg(F.sum("n").alias("k"), F.first("tokens").alias("tokens"))
     ends = follow.groupBy("lang").agg(F.sum("k").alias("ends"))
     words = of("w").groupBy("lang", F.col("a").alias("b")).agg(F.sum("n").alias("cw"))
@@ -252,16 +312,45 @@ def learn(docs: DataFrame) -> dict[str, dict[str, set]]:
     bound = marked.where("(abbr or a = '##' or length(a) = 1) and n >= 3").join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"])
     together = _ratio(F.col("n"), F.col("na"), F.col("nb") - F.col("n"), F.col("periods") - F.col("na"))
     bound = bound.where((F.col("n") / F.col("na") > F.col("nb") / F.col("periods")) & (together >= COLLOCATION)).select("lang", "a", "b", "n")
+    none = F.lit("")
+    return (
+        abbreviations.select("lang", F.lit("abbr").alias("kind"), "a", none.alias("b"))
+        .unionByName(starters.select("lang", F.lit("start").alias("kind"), F.col("b").alias("a"), none.alias("b")))
+        .unionByName(bound.select("lang", F.lit("coll").alias("kind"), "a", "b"))
+    )
+
+
+def model_of(rows: Iterable[tuple[str, str, str, str]]) -> dict[str, dict[str, set]]:
+    """Sets of learned types by language and kind."""
     model: dict[str, dict[str, set]] = {}
-    for r in abbreviations.orderBy(F.desc("cp"), "lang", "a").limit(MODEL_ROWS).collect():
-        model.setdefault(r["lang"], {"abbr": set(), "coll": set(), "start": set()})["abbr"].add(r["a"])
-    for r in starters.orderBy(F.desc("k"), "lang", "b").limit(MODEL_ROWS).collect():
-        model.setdefault(r["lang"], {"abbr": set(), "coll": set(), "start": set()})["start"].add(r["b"])
-    for r in bound.orderBy(F.desc("n"), "lang", "a", "b").limit(MODEL_ROWS).collect():
-        model.setdefault(r["lang"], {"abbr": set(), "coll": set(), "start": set()})["coll"].add((r["a"], r["b"]))
+    for lang, kind, a, b in rows:
+        model.setdefault(lang, {"abbr": set(), "coll": set(), "start": set()})[kind].add((a, b) if kind == "coll" else a)
     return model
 
 
+def asked_types(text: str, known: Languages | None = None) -> set[tuple[str, str, str, str]]:
+    """The learned types that the classification of a text may ask for, wherever its sentences begin: the token before each
+    period, also the parts of it behind an end mark, and the token after it."""
+    spans = blocks(text)
+    lang = language("\n".join(text[a:b] for a, b in spans), known)
+    out: set[tuple[str, str, str, str]] = set()
+    for x, y in spans:
+        s = text[x:y]
+        for m in _end.finditer(s):
+            # as in _ends: the words before the period and behind it, wherever a cut lets them begin
+            before = s[max(0, m.start() - 60) : m.start()].split()[-1:]
+            firsts = {t[i:] for t in before for i in [0, *(k + 1 for k, c in enumerate(t) if not c.isalnum())]}
+            rest = s[m.end() : m.end() + 80]
+            i = 0
+            while i < len(rest) and (rest[i] in _closers or rest[i] in _stray):
+                i += 1
+            after = {w[0] for k in range(i + 1) if (w := rest[k:].split(None, 1))}
+            seconds = {w.strip(_edge).lower().rstrip(".")[:40] for w in after}
+            shapes = {shape(t) for t in firsts} | {t.lower() for t in firsts}
+            out |= {(lang, "abbr", t, "") for t in shapes} | {(lang, "start", t, "") for t in seconds} | {(lang, "coll", t, u) for t in shapes for u in seconds}
+    return out
+
+
 # ---- classification -------------------------------------------------------------------------------------------------
 
 _closers = "\"'”’»›」』）)]】》〉｣”"
@@ -470,12 +559,12 @@ def _ends(s: str, start: int, a: int, e: int, i: int, lang: str, abbr: set, coll
     return not lower
 
 
-def sentences_of(text: str | None, model: dict[str, dict[str, set]] | None = None) -> list[tuple[int, int]]:
+def sentences_of(text: str | None, model: dict[str, dict[str, set]] | None = None, known: Languages | None = None) -> list[tuple[int, int]]:
     """1-based positions of the first and last character of every sentence."""
     if not text:
         return []
     spans = blocks(text)
-    lang = language("\n".join(text[a:b] for a, b in spans))  # code and headings may be in another language
+    lang = language("\n".join(text[a:b] for a, b in spans), known)  # code and headings may be in another language
     stats = (model or {}).get(lang)
     out = []
     for a, b in spans:
@@ -483,19 +572,44 @@ def sentences_of(text: str | None, model: dict[str, dict[str, set]] | None = Non
     return out
 
 
-def sentences(docs: DataFrame) -> DataFrame:
+def sentences(docs: DataFrame, most: int = MODEL_ROWS) -> DataFrame:
     """doc_id, start_pos, end_pos of the sentences of all documents of other kinds than code."""
-    prose = spread(docs.where("(kind is null or kind <> 'code') and text is not null and text <> ''").select("doc_id", "text"))
-    model = docs.sparkSession.sparkContext.broadcast(learn(prose))
+    keep = ["doc_id", "text"] + (["lang"] if "lang" in docs.columns else [])
+    prose = spread(docs.where("(kind is null or kind <> 'code') and text is not null and text <> ''").select(*keep))
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(learn_languages(prose))
+    types = saved(learn(prose, known), "learned")
+    if types.count() <= most:
+        all_types = spark.sparkContext.broadcast(model_of(types.toLocalIterator()))
+        rows = prose.select("doc_id", "text", F.lit(None).cast("array<struct<lang:string,kind:string,a:string,b:string>>").alias("types"))
+    else:
+        all_types = None
+        rows = with_types(prose, types, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1):
             ids, starts, ends = [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for x, y in sentences_of(text, model.value):
+            for k, text, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                model = all_types.value if all_types else model_of(tuple(t.values()) for t in own or ())
+                for x, y in sentences_of(text, model, known.value):
                     ids.append(k)
                     starts.append(x)
                     ends.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
 
-    return prose.mapInArrow(run, "doc_id long, start_pos int, end_pos int").distinct()
+    return rows.mapInArrow(run, "doc_id long, start_pos int, end_pos int").distinct()
+
+
+def with_types(prose: DataFrame, types: DataFrame, known) -> DataFrame:
+    """doc_id, text, types: every document with those learned types that it may ask for, by a join on the type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 1):
+            rows = [(k, *t) for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in asked_types(text, known.value)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["h", "lang", "kind", "a", "b"])
+
+    texts = prose.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    asked = texts.select("h", "text").mapInArrow(run, "h long, lang string, kind string, a string, b string")
+    held = asked.join(types, ["lang", "kind", "a", "b"]).groupBy("h").agg(F.collect_set(F.struct("lang", "kind", "a", "b")).alias("types"))
+    return texts.join(held, "h", "left").select("doc_id", "text", "types")

@@ -213,6 +213,23 @@ def test_sentence_positions(spark):
     assert sentences.sentences(d.limit(0)).count() == 0
 
 
+def test_learned_types_joined_or_broadcast(spark):
+    """Without a broadcast model the join gives the same sentences."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = (set(map(tuple, sentences.sentences(d, most).collect())) for most in (sentences.MODEL_ROWS, 0))
+    assert one == two and len(one) > 5000
+
+
+def test_languages_are_learned_from_labels(spark):
+    """Languages nobody listed are told apart, though labels are spelt in several ways and some are wrong."""
+    text = {"it": "il gatto che dorme sulla sedia non vede la porta della casa e poi esce", "nl": "de kat die op de stoel slaapt ziet het huis niet en gaat dan naar buiten", "pt": "o gato que dorme na cadeira não vê a porta da casa e depois sai para a rua", "en": "the cat that sleeps on the chair does not see the door of the house and goes out"}
+    data = [(k, " ".join(w for j, w in enumerate(t.split()) if (j + i) % 5), [x, x.upper(), f"{x}-XX", "en", None, "und"][min(i, 5) if i > 24 else i % 3]) for k, (x, t) in enumerate(text.items()) for i in range(30)]
+    known = sentences.learn_languages(spark.createDataFrame(data, "doc_id int, text string, lang string"))
+    assert set(known.names) == set(text) and all(sentences.language(t, known) == x for x, t in text.items())
+    assert sentences.language("кошка спит на стуле и не видит дома", known) == "ru"
+    assert sentences.learn_languages(spark.createDataFrame([(1, "x")], "doc_id int, text string")).names == []
+
+
 def test_every_query_gives_distinct_rows(spark):
     for name, f in queries.queries().items():
         df = f(spark, "/root/testdata/sf0.001")
