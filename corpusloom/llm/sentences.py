@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from corpusloom.session import saved, spread
 
 #: Thresholds of the log-likelihood ratios (published values of the method) and the longest abbreviation in letters.
 ABBREVIATION, COLLOCATION, STARTER, LONGEST = 0.3, 7.88, 30.0, 9
+#: Least share of a lower-case word's occurrences that begin a block where it is to begin sentences.
+LEAD = 0.1
 #: Times a type must occur with a period before it can be an abbreviation.
 EVIDENCE = 3
 #: Learned types up to which they come to the driver and are broadcast; beyond, documents are joined with them.
@@ -219,7 +222,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
 # ---- statistics -----------------------------------------------------------------------------------------------------
 
 _edge = "\"'“”„‚‘’«»‹›()[]{}<>*_`¿¡,;:!?"
-_type = re.compile(r"[^\W\d_]+(?:[.\-’'][^\W\d_]+)*")
+#: Letters with their marks (vowel signs are marks in Indic scripts), joined by points, hyphens and apostrophes.
+_type = regex.compile(r"[\p{L}\p{M}]+(?:[.\-’'][\p{L}\p{M}]+)*")
 
 
 def shape(token: str) -> str:
@@ -230,7 +234,7 @@ def shape(token: str) -> str:
 
 def count_types(texts: Iterator[str], known: Languages | None = None) -> Counter:
     """Counts by (language, kind, first, second): w types without and p with a final period, b pairs around a period,
-    s all followers of a sure end, n tokens."""
+    l lower-case words and f those of them that begin a block, F blocks, n tokens, N tokens with a final period."""
     raw: dict[str, Counter] = {}
     pairs: dict[str, Counter] = {}
     total: Counter = Counter()
@@ -241,6 +245,10 @@ def count_types(texts: Iterator[str], known: Languages | None = None) -> Counter
         for part in parts:
             tokens = part.split()
             c.update(tokens)
+            if tokens:
+                total[lang, "F", "", ""] += 1
+                if tokens[0].isalpha() and tokens[0].islower():
+                    total[lang, "f", tokens[0], ""] += 1
             p.update([(x, y) for x, y in zip(tokens, tokens[1:]) if x[-1] == "."])
     for lang, p in pairs.items():
         for (x, y), k in p.items():
@@ -258,6 +266,8 @@ def count_types(texts: Iterator[str], known: Languages | None = None) -> Counter
                     total[lang, "p", t, ""] += k
             else:
                 t = core.lower()
+                if t == core and t.isalpha() and len(t) <= 20:
+                    total[lang, "l", t, ""] += k
                 if t and _type.fullmatch(t) and len(t.replace(".", "")) <= 20:
                     total[lang, "w", t, ""] += k
     return total
@@ -276,7 +286,7 @@ def _ratio(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 
 
 def learn(docs: DataFrame, known=None) -> DataFrame:
-    """The learned types of all documents: lang, kind (abbr, coll or start), a, b. KNOWN: broadcast classifier of languages."""
+    """The learned types of all documents: lang, kind (abbr, coll, start or lead), a, b. KNOWN: broadcast classifier of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0):
@@ -312,10 +322,15 @@ def learn(docs: DataFrame, known=None) -> DataFrame:
     bound = marked.where("(abbr or a = '##' or length(a) = 1) and n >= 3").join(firsts, ["lang", "a"]).join(seconds, ["lang", "b"])
     together = _ratio(F.col("n"), F.col("na"), F.col("nb") - F.col("n"), F.col("periods") - F.col("na"))
     bound = bound.where((F.col("n") / F.col("na") > F.col("nb") / F.col("periods")) & (together >= COLLOCATION)).select("lang", "a", "b", "n")
+    # lower-case words that begin blocks far more often than words do begin sentences also without a capital
+    lower = of("f").select("lang", "a", F.col("n").alias("k")).where("length(a) > 2").join(of("l").select("lang", "a", F.col("n").alias("c")), ["lang", "a"])
+    lower = lower.join(F.broadcast(of("F").select("lang", F.col("n").alias("blocks"))), "lang").join(F.broadcast(sums), "lang").withColumn("c", F.greatest("c", "k"))
+    leads = lower.where((F.col("k") >= 5) & (F.col("k") >= LEAD * F.col("c")) & (_ratio(F.col("k"), F.col("c"), F.col("blocks") - F.col("k"), F.col("tokens") - F.col("c")) >= STARTER))
     none = F.lit("")
     return (
         abbreviations.select("lang", F.lit("abbr").alias("kind"), "a", none.alias("b"))
         .unionByName(starters.select("lang", F.lit("start").alias("kind"), F.col("b").alias("a"), none.alias("b")))
+        .unionByName(leads.select("lang", F.lit("lead").alias("kind"), "a", none.alias("b")))
         .unionByName(bound.select("lang", F.lit("coll").alias("kind"), "a", "b"))
     )
 
@@ -324,7 +339,7 @@ def model_of(rows: Iterable[tuple[str, str, str, str]]) -> dict[str, dict[str, s
     """Sets of learned types by language and kind."""
     model: dict[str, dict[str, set]] = {}
     for lang, kind, a, b in rows:
-        model.setdefault(lang, {"abbr": set(), "coll": set(), "start": set()})[kind].add((a, b) if kind == "coll" else a)
+        model.setdefault(lang, {"abbr": set(), "coll": set(), "start": set(), "lead": set()})[kind].add((a, b) if kind == "coll" else a)
     return model
 
 
@@ -340,14 +355,15 @@ def asked_types(text: str, known: Languages | None = None) -> set[tuple[str, str
             # as in _ends: the words before the period and behind it, wherever a cut lets them begin
             before = s[max(0, m.start() - 60) : m.start()].split()[-1:]
             firsts = {t[i:] for t in before for i in [0, *(k + 1 for k, c in enumerate(t) if not c.isalnum())]}
-            rest = s[m.end() : m.end() + 80]
+            rest = s[m.end() : m.end() + 100]
             i = 0
             while i < len(rest) and (rest[i] in _closers or rest[i] in _stray):
                 i += 1
-            after = {w[0] for k in range(i + 1) if (w := rest[k:].split(None, 1))}
+            # behind closing signs and white space, and behind opening signs that stand apart
+            after = {w for k in range(i + 1) for w in (rest[k:].split(None, 1)[:1] + rest[k:].lstrip(_opener + _stray).split(None, 1)[:1])}
             seconds = {w.strip(_edge).lower().rstrip(".")[:40] for w in after}
             shapes = {shape(t) for t in firsts} | {t.lower() for t in firsts}
-            out |= {(lang, "abbr", t, "") for t in shapes} | {(lang, "start", t, "") for t in seconds} | {(lang, "coll", t, u) for t in shapes for u in seconds}
+            out |= {(lang, "abbr", t, "") for t in shapes} | {(lang, kind, t, "") for t in seconds for kind in ("start", "lead")} | {(lang, "coll", t, u) for t in shapes for u in seconds}
     return out
 
 
@@ -387,6 +403,7 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
     abbr = model["abbr"] if model else set()
     coll = model["coll"] if model else set()
     begin = model["start"] if model else set()
+    lead = model.get("lead", set()) if model else set()
     n = len(s)
     cuts: list[int] = []
     start = 0
@@ -444,7 +461,7 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             word = s[max(start, a - 60) : a].split()[-1:]
             if not (word and _full_word.fullmatch(word[0]) and not word[0].isupper()):
                 continue
-            if not _ends(s, start, a, e, e, lang, abbr, coll, begin):
+            if not _ends(s, start, a, e, lang, abbr, coll, begin, lead):
                 continue
             cuts.append(e)
             start = e
@@ -463,7 +480,7 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             if s[o] in "(（[【":
                 if not at_start:
                     continue
-            elif c.islower() and not _identifier.match(s, i) or c in "—–-,;:，、；：":
+            elif goes_on(s, i, lead) or c in "—–-,;:，、；：":
                 continue
             elif lang in ("zh", "ja"):
                 if not (colon or at_start) or c in "とっの的之":
@@ -471,9 +488,9 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             elif lang in ("hi", "ar", "th"):
                 if not colon:
                     continue
-            elif not (colon or at_start or c.isupper() or c in _opener):
+            elif not (colon or at_start or c.isupper() or c in _opener or c.islower()):
                 continue
-            if s[i].islower() and not colon and s[o] not in "(（":
+            if s[i].islower() and not colon and s[o] not in "(（" and goes_on(s, i, lead):
                 continue
             cuts.append(e)
             start = e
@@ -482,7 +499,7 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             c = s[i]
             if lang in ("zh", "ja") and "。" not in mark and "！" not in mark and "？" not in mark:
                 continue
-            if c.islower() or c in "—–-,;:" or (lang in ("hi", "ar", "th") and not gap):
+            if goes_on(s, i, lead) or c in "—–,;:" or (lang in ("hi", "ar", "th") and not gap):
                 continue
             if lang in ("hi", "ar", "th"):
                 continue
@@ -499,12 +516,12 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
             c = s[i]
             if not gap and not closed and not _glued.match(s, e) and s[e].isascii():
                 continue
-            if c.islower() and not _identifier.match(s, i) or c in "—–,;:":
+            if goes_on(s, i, lead) or c in "—–,;:":
                 continue
             cuts.append(e)
             start = e
             continue
-        if mark == "." and _ends(s, start, a, e, i, lang, abbr, coll, begin):
+        if mark == "." and _ends(s, start, a, i, lang, abbr, coll, begin, lead):
             cuts.append(e)
             start = e
     out, at = [], 0
@@ -517,16 +534,25 @@ def split(s: str, lang: str, model: dict[str, set] | None) -> list[tuple[int, in
     return out
 
 
-def _ends(s: str, start: int, a: int, e: int, i: int, lang: str, abbr: set, coll: set, begin: set) -> bool:
+def goes_on(s: str, i: int, lead: set) -> bool:
+    """Whether a lower-case word at I continues a sentence: no identifier, and no word that begins sentences like that."""
+    return s[i].islower() and not _identifier.match(s, i) and s[i : i + 60].split(None, 1)[0].strip(_edge).rstrip(".") not in lead
+
+
+def _ends(s: str, start: int, a: int, i: int, lang: str, abbr: set, coll: set, begin: set, lead: set) -> bool:
     """Whether the period at A ends a sentence, given the statistics; the next token begins at I."""
     words, rest = s[max(start, a - 60) : a].split(), s[i : i + 60].split(None, 1)
     if not words or not rest:
         return False
     token, nxt = words[-1], rest[0]
-    first, second = shape(token), nxt.strip(_edge).lower().rstrip(".")[:40]
     core = nxt.lstrip(_opener)
-    c = core[:1]
-    lower = c.islower() and not _identifier.match(core)
+    if not core:  # an opening sign that stands apart
+        core = (s[i : i + 80].lstrip(_opener + _stray).split(None, 1) or [""])[0]
+        if not core:
+            return False
+    first, second = shape(token), core.strip(_edge).lower().rstrip(".")[:40]
+    c = core[0]
+    lower = goes_on(core, 0, lead)
     if c in "—–,;:" or nxt[0] in "—–,;:":
         return False
     bare = token.strip(_edge)
