@@ -40,6 +40,14 @@ class Api:
             states = None
         return reports.inventory(self._chunks(), states)
 
+    def languages(self) -> DataFrame:
+        """Chunks by language."""
+        return reports.languages(self._chunks())
+
+    def total(self) -> int:
+        """Chunks in the index."""
+        return self._chunks().count()
+
     def definitions(self, name: str, top_k: int = 8, max_chars: int = 0, **filters: object) -> DataFrame:
         return search.find_definitions(self._chunks(), name, top_k=top_k, max_chars=max_chars, **filters)
 

@@ -6,39 +6,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash
+from corpusloom.session import saved
 
 FILE = ["project", "repo", "path"]
 
 
-def duplicate_clusters(chunks: DataFrame, min_repos: int = 2, min_chars: int = 200, limit: int = 50, content_type: str = "code", stored_hash: bool = False) -> DataFrame:
-    """Texts that occur in several repositories: counts, snippet and ordered locations, widest first.
+#: Places that a cluster shows; duplicate_locations gives all.
+SHOWN = 100
+_PLACE = ["project", "repo", "path", "start_line", "id", "end_line"]
 
-    Counting carries only hash, id and repository; the snippets and locations are fetched for the clusters that remain.
-    The hash is computed unless the stored column is asked for.
-    """
+
+def _widest(chunks: DataFrame, min_repos: int, min_chars: int, limit: int, content_type: str, stored_hash: bool) -> tuple[DataFrame, DataFrame]:
+    """(places, top): every chunk's hash and place once, and counts of the widest clusters (at most 200 rows)."""
     limit, min_repos = min(max(limit, 1), 200), max(min_repos, 1)
     key = F.col("content_hash") if stored_hash else content_hash(F.col("text"))
-    rows = chunks.where((F.col("content_type") == content_type) & (F.length("text") >= min_chars)).withColumn("hash", key).where("hash is not null")
-    slim = rows.select("hash", "id", "project", "repo").distinct()
-    by_repo = slim.groupBy("hash", "project", "repo").agg(F.count("*").alias("n"))
-    top = by_repo.groupBy("hash").agg(F.sum("n").alias("occurrence_count"), F.count("*").alias("repo_count")).where(F.col("repo_count") >= min_repos).orderBy(F.desc("repo_count"), F.desc("occurrence_count"), "hash").limit(limit)
-    place = F.struct("project", "repo", "path", "start_line", "id", "end_line")
-    found = rows.join(F.broadcast(top), "hash").dropDuplicates(["id"])  # at most 200 hashes
-    return (
-        found.groupBy("hash", "occurrence_count", "repo_count")
-        .agg(F.left(F.min_by("text", place), F.lit(200)).alias("snippet"), F.array_sort(F.collect_list(place)).alias("p"))
-        .withColumn("locations", F.transform("p", lambda x: F.struct(x["project"].alias("project"), x["repo"].alias("repo"), x["path"].alias("path"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"))))
-        .drop("p")
-    )
+    rows = chunks.where((F.col("content_type") == content_type) & (F.length("text") >= min_chars)).select(key.alias("hash"), *_PLACE).where("hash is not null")
+    places = saved(rows.dropDuplicates(["id"]), "places")  # the texts are hashed once and do not travel
+    by_repo = places.groupBy("hash", "project", "repo").agg(F.count("*").alias("n"))
+    top = by_repo.groupBy("hash").agg(F.sum("n").alias("occurrence_count"), F.count("*").alias("repo_count")).where(F.col("repo_count") >= min_repos)
+    return places, saved(top.orderBy(F.desc("repo_count"), F.desc("occurrence_count"), "hash").limit(limit), "widest")
+
+
+def duplicate_locations(chunks: DataFrame, min_repos: int = 2, min_chars: int = 200, limit: int = 50, content_type: str = "code", stored_hash: bool = False) -> DataFrame:
+    """hash and place of every occurrence in the clusters that duplicate_clusters reports, one row each."""
+    places, top = _widest(chunks, min_repos, min_chars, limit, content_type, stored_hash)
+    return places.join(F.broadcast(top.select("hash")), "hash").drop("id")
+
+
+def duplicate_clusters(chunks: DataFrame, min_repos: int = 2, min_chars: int = 200, limit: int = 50, content_type: str = "code", stored_hash: bool = False) -> DataFrame:
+    """Texts that occur in several repositories: counts, snippet and the first SHOWN locations in order, widest first.
+
+    The counts are of all occurrences; a cluster may hold a third of all chunks, so its list is cut before it reaches one
+    task, and duplicate_locations has it whole. The hash is computed unless the stored column is asked for.
+    """
+    places, top = _widest(chunks, min_repos, min_chars, limit, content_type, stored_hash)
+    rank = F.row_number().over(Window.partitionBy("hash").orderBy(*_PLACE[:5]))
+    first = places.join(F.broadcast(top), "hash").withColumn("rank", rank).where(F.col("rank") <= SHOWN)
+    shown = first.groupBy("hash", "occurrence_count", "repo_count").agg(F.min_by("id", F.struct(*_PLACE[:5])).alias("id"), F.array_sort(F.collect_list(F.struct(*_PLACE))).alias("p"))
+    locations = F.transform("p", lambda x: F.struct(*[x[c].alias(c) for c in ("project", "repo", "path", "start_line", "end_line")]))
+    snippets = chunks.select("id", F.left("text", F.lit(200)).alias("snippet")).join(F.broadcast(shown.select("id")), "id").dropDuplicates(["id"])  # at most 200 ids
+    return shown.join(F.broadcast(snippets), "id").select("hash", "occurrence_count", "repo_count", "snippet", locations.alias("locations"))
 
 
 def numbered_lines(chunks: DataFrame) -> DataFrame:
     """project, repo, path, ln, line: each line of a file once; of overlapping chunks the first by start line, id wins.
 
-    One shuffle by file serves this and all later steps per file.
+    Chunks, not lines, are shuffled by file; that one shuffle serves this and all later steps per file.
     """
-    rows = chunks.select(*FILE, "id", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    rows = rows.repartition(*FILE)
+    rows = chunks.where("text is not null").select(*FILE, "id", "start_line", "text").repartition(*FILE)
+    rows = rows.select(*FILE, "id", "start_line", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return rows.groupBy(*FILE, (F.col("start_line") + F.col("i")).alias("ln")).agg(F.min_by("line", F.struct("start_line", "id")).alias("line"))
 
 

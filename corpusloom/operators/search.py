@@ -46,8 +46,13 @@ def query_terms_column(query: Column) -> Column:
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
-    """The n best (id, score), each id once."""
-    return scored.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    """The n best (id, score), each id once.
+
+    A row stored twice has both equal, so the n best distinct pairs are those of dense rank n at most: every task keeps only
+    these before anything is shuffled.
+    """
+    rank = F.dense_rank().over(Window.orderBy(F.desc("score"), "id"))
+    return scored.select("id", "score").withColumn("rank", rank).where(F.col("rank") <= n).select("id", "score").distinct()
 
 
 def vector_leg(chunks: DataFrame, vector: list[float], n: int, cond: Column | None = None) -> DataFrame:

@@ -36,13 +36,19 @@ def gate(store: Store, model: str = "hash-96") -> bool:
     return False
 
 
+def backfilled(chunks: DataFrame, commits: DataFrame) -> DataFrame:
+    """Chunks with the commit of their path (either slash) where COMMITS (project, repo, path, commit_hash, commit_date) knows it."""
+    keys = ["project", "repo", "path"]
+    known = commits.select(*keys, F.col("commit_hash").alias("_h"), F.col("commit_date").alias("_d")).dropDuplicates(keys)
+    rows = chunks.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).join(known, keys, "left")
+    return rows.withColumn("commit_hash", F.coalesce("_h", "commit_hash")).withColumn("commit_date", F.coalesce("_d", "commit_date")).drop("_h", "_d")
+
+
 def embedded(files: DataFrame, provider: Callable, commits: DataFrame | None = None) -> DataFrame:
     """Chunks with vectors and, if given, commits (project, repo, path, commit_hash, commit_date); unknown ones are empty."""
     chunks = chunk_rows(files)
     if commits is not None:
-        keys = ["project", "repo", "path"]
-        known = commits.select(*keys, F.col("commit_hash").alias("_h"), F.col("commit_date").alias("_d")).dropDuplicates(keys)
-        chunks = chunks.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/"))).join(known, keys, "left").withColumn("commit_hash", F.coalesce("_h", "commit_hash")).withColumn("commit_date", F.coalesce("_d", "commit_date")).drop("_h", "_d")
+        chunks = backfilled(chunks, commits)
     return chunks.withColumn("embedding", embedder(provider)(F.col("embed_text"))).drop("embed_text")
 
 

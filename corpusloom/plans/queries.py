@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import chunking, symbols, text
 from corpusloom.functions.embedding import embedder, hash_provider
 from corpusloom.operators import changes, incremental, reports, search
-from corpusloom.session import spread, table
+from corpusloom.plans import indexing
+from corpusloom.session import shared_dir, spread, table
+from corpusloom.store import Store
 
 FLAGSHIP = "hybrid_search"
 
@@ -19,6 +22,7 @@ FLAGSHIP = "hybrid_search"
 QUERY = "retry loop releases the lease, lease harbor_tide 12 Monolith"
 VECTOR = [round(math.sin(i + 1), 3) for i in range(96)]
 SYMBOL, PATH_PART, TOP = "storeTenant", "src\\lens", 20
+MIN_SCORE = 0.25
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +69,100 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("hash", "occurrence_count", "repo_count", "snippet", places.alias("locations"))
 
 
+def duplicate_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.duplicate_locations(_chunks(spark, sf_dir), limit=200)
+
+
+def min_score_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the vector leg alone need a score; those of the lexical leg stay. Texts are cut at 120 characters, flagged where cut."""
+    hits = search.hybrid_search(_chunks(spark, sf_dir), QUERY, VECTOR, top_k=TOP, min_score=MIN_SCORE, content_type="code", max_chars=120)
+    return hits.select("rk", "project", "repo", "path", "start_line", "matched_by", F.round("score", 6).alias("score"), "text", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def file_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 3 to 30 of the first file by name of the largest repository, and a file that is not there."""
+    c = _chunks(spark, sf_dir)
+    path = c.where("project = 'harborline' and repo = 'monolith-core'").agg(F.min("path")).first()[0]
+    both = [reports.file_context(c, "harborline", "monolith-core", x, 3, 30, 400) for x in (path or "", "no/such/file")]
+    rows = both[0].unionByName(both[1])
+    none = F.lit(0)
+    return rows.select("project", "repo", "path", "found", "text", F.coalesce("indexed_start", none).alias("indexed_start"), F.coalesce("indexed_end", none).alias("indexed_end"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("note", F.lit("")).alias("note"))
+
+
+def planted_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing ranges of the files' lines once every third chunk, by its hash, is taken away."""
+    c = _chunks(spark, sf_dir).where("text is not null and ascii(substr(id, -1)) % 3 <> 0")
+    return reports.gaps(reports.numbered_lines(c), 1, 200)
+
+
+def import_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the import lines of a chunk alone would be left out: the first 5 import lines of every chunk with as many."""
+    lines = F.filter(text.lines_of(F.col("text")), lambda x: x.rlike(text.IMPORT_LINE))
+    rows = _chunks(spark, sf_dir).where("text is not null").select("id", lines.alias("l")).distinct()
+    return rows.where("size(l) > 0").select("id", F.size("l").alias("imports"), text.is_import_dominated(F.array_join("l", "\n")).alias("dropped"))
+
+
+def renamed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's deletions as renames to a new name and its modifications as copies, parsed from their lines."""
+    kind = F.when(F.col("status") == "D", F.concat_ws("\t", F.lit("R087"), "path", F.concat("path", F.lit(".moved")))).when(F.col("status") == "M", F.concat_ws("\t", F.lit("C100"), "path", F.concat("path", F.lit(".copy")))).otherwise(F.concat_ws("\t", "status", "path"))
+    return changes.parse_name_status(table(spark, sf_dir, "file_changes").select("change_id", kind.alias("line")).distinct())
+
+
+def backfilled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with the newest known commit of its path instead of its own."""
+    c = _chunks(spark, sf_dir).select("id", "project", "repo", "path", "commit_hash", "commit_date").distinct()
+    known = changes.last_commits(table(spark, sf_dir, "file_changes"), table(spark, sf_dir, "commit_log"))
+    return indexing.backfilled(c, known).select("id", "commit_hash", "commit_date")
+
+
+def upserted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's chunks after the table is stored, its first project is deleted, and all chunks of the feed's paths come back with
+    a new text: stored ids once each, replaced rows replaced."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    c = _chunks(spark, sf_dir).where("id is not null").withColumn("embedding", F.lit(None).cast("array<float>"))
+    named = c.where("project is not null and repo is not null and path is not null and content_type is not null and text is not null")
+    store.ensure()
+    store.upsert(named)
+    first = named.agg(F.min("project")).first()[0]
+    store.apply(repos=named.where(F.col("project") == F.lit(first)))
+    touched = table(spark, sf_dir, "file_changes").select("project", "repo", "path").distinct()
+    store.apply(new=named.join(touched, ["project", "repo", "path"], "left_semi").withColumn("text", F.lit("new")))
+    return store.read("chunks").select("id", "project", "repo", "path", F.length("text").alias("chars"))
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their bytes behind a byte order mark, with a NUL, decoded again; every fifth is no UTF-8."""
+    raw = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "utf-8"), F.unhex(F.when(F.col("doc_id") % 5 == 0, "FF").otherwise("00")))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.decoded(raw).alias("t"))
+    return rows.select("doc_id", F.sha2("t", 256).alias("text_sha"))
+
+
+def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chunks of every document keep of it, borders being this engine's own: all its words' characters in order, lines
+    within the document, sizes, ids, hashes."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").distinct()
+    c = document_chunks(spark, sf_dir).select(F.substring_index("path", "/", 1).cast("long").alias("doc_id"), "id", "text", "start_line", "end_line", "content_hash")
+    squeezed = lambda x: F.regexp_replace(x, text.WS, "")
+    inside = F.col("d.text").contains(F.col("c.text"))
+    per = d.alias("d").join(c.alias("c"), F.col("d.doc_id") == F.col("c.doc_id")).groupBy("d.doc_id").agg(
+        F.bool_and(inside).alias("inside"),
+        F.bool_and(F.length("c.text") <= chunking.SIZE).alias("sized"),
+        (F.count("*") == F.count_distinct("c.id")).alias("ids"),
+        F.bool_and((F.col("c.start_line") >= 1) & (F.col("c.start_line") <= F.col("c.end_line"))).alias("lines"),
+        F.bool_and(F.col("c.content_hash") == text.content_hash(F.col("c.text"))).alias("hashed"),
+        (F.sum(F.length(squeezed(F.col("c.text")))) >= F.length(squeezed(F.first("d.text")))).alias("covered"),
+    )
+    return per
+
+
+def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension and length of every pull request document's vector by the hashing provider."""
+    docs = changes.pr_documents(table(spark, sf_dir, "pull_requests"))
+    v = docs.select("project", "repo", "pr_id", embedder(hash_provider)(F.col("text")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("project", "repo", "pr_id", F.size("v").alias("numbers"), F.round(norm, 4).alias("length"))
+
+
 def stitched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = reports.stitched(_chunks(spark, sf_dir))
     spans = F.array_join(F.transform("gaps", lambda g: F.concat(g["start_line"].cast("string"), F.lit("-"), g["end_line"].cast("string"))), ",")
@@ -186,6 +284,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hybrid_search, vector_search, lexical_search, filtered_lexical_search, path_filter, query_tokens, fused_legs, duplicate_clusters, stitched_files, stitched_window, file_gaps,
         inventory, repo_freshness, language_counts, find_definitions, skipped_paths, minified_texts, import_chunks, content_hashes, stale_hashes, chunk_ids, chunk_symbols, typed_symbols,
         name_status, last_commits, index_plan, pr_documents, pr_cursors, upserted_paths, document_chunks, embedded_prs, p7_found,
+        duplicate_locations, min_score_search, file_contexts, planted_gaps, import_shares, renamed_paths, backfilled_commits, upserted_chunks, decoded_texts, chunk_checks, vector_checks,
     )
     return {f.__name__: f for f in found}
 
@@ -227,11 +326,16 @@ d AS (SELECT key, string_agg(project || '/' || repo || '/' || path, '|' ORDER BY
 SELECT rk::INTEGER AS rk, project, repo, path, start_line, matched_by, round(score, 6) AS score, left(text, 200) AS snippet, coalesce(duplicates, '') AS duplicates
 FROM o LEFT JOIN d ON d.key = o.key WHERE rn = 1 ORDER BY rk LIMIT {TOP}"""
 
+_MIN_SCORE = f"""WITH {_ONE.replace("FROM chunks)", "FROM chunks WHERE content_type = 'code')")}, {_vec(80)}, {_lex(80)}, {_FUSED},
+h AS (SELECT f.*, k.project, k.repo, k.path, k.start_line, k.text, {_HASH('k.text')} AS key FROM f JOIN k ON k.id = f.id WHERE matched_by <> 'semantic' OR score >= {MIN_SCORE}),
+o AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) AS rk, row_number() OVER (PARTITION BY key ORDER BY rrf DESC, id) AS rn FROM h)
+SELECT rk::INTEGER AS rk, project, repo, path, start_line, matched_by, round(score, 6) AS score, left(text, 120) AS text, length(text) > 120 AS truncated FROM o WHERE rn = 1 ORDER BY rk LIMIT {TOP}"""
+
 _CLUSTERS = f"""WITH {_ONE}, c AS (SELECT *, {_HASH('text')} AS hash FROM k WHERE content_type = 'code' AND length(text) >= 200)
 SELECT hash, count(*) AS occurrence_count, count(DISTINCT (project, repo)) AS repo_count,
   left(first(text ORDER BY project, repo, path, start_line, id), 200) AS snippet,
-  string_agg(concat_ws(':', project, repo, path, start_line, end_line), '|' ORDER BY project, repo, path, start_line, id) AS locations
-FROM c GROUP BY hash HAVING repo_count >= 2 ORDER BY repo_count DESC, occurrence_count DESC, hash LIMIT 200"""
+  string_agg(concat_ws(':', project, repo, path, start_line, end_line), '|' ORDER BY project, repo, path, start_line, id) FILTER (WHERE rn <= 100) AS locations
+FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY project, repo, path, start_line, id) AS rn FROM c) GROUP BY hash HAVING repo_count >= 2 ORDER BY repo_count DESC, occurrence_count DESC, hash LIMIT 200"""
 
 _LINES = f"""WITH {_ONE}, e AS (SELECT project, repo, path, id, start_line, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM k WHERE text IS NOT NULL),
 n AS (SELECT project, repo, path, start_line + i AS ln, first(line ORDER BY start_line, id) AS line FROM e GROUP BY ALL),
@@ -262,6 +366,16 @@ def _symbols_sql() -> str:
     return f"WITH {_ONE} SELECT id, coalesce(array_to_string(CASE {' '.join(cases)} END, ' '), '') AS names FROM k WHERE text IS NOT NULL AND lower(language) IN ({', '.join(repr(n) for n in langs)})"
 
 
+def _typed_sql() -> str:
+    """The typed languages line by line, so that RE2 needs no possessive repetition: a name before a bracket, what stands
+    before it on the line made of type words, the first of which is no keyword."""
+    kinds = {"cs": "class|interface|struct|enum|record", "java": "class|interface|enum|record", "c": "struct|enum|union", "cpp": "struct|class|enum|union"}
+    word = r"[A-Za-z_][\w<>\[\],.:?]*[ \t*&]+"
+    typed = rf"list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: regexp_extract(x, '^[ \t]*(?:{word})+?([A-Za-z_]\w*)[ \t]*\(', 1)), lambda x, i: x <> '' AND NOT regexp_matches(regexp_split_to_array(text, '\n')[i], '^[ \t]*(?:return|if|for|while|switch|catch|foreach|else|do|await|yield|throw|new|lock|using)\b'))"
+    cases = " ".join(f"WHEN '{lang}' THEN regexp_extract_all(text, '\\b(?:{words})\\s+(\\w+)', 1)" for lang, words in kinds.items()).replace("\\\\", "\\")
+    return f"WITH {_ONE} SELECT id, array_to_string(list_sort(list_distinct(list_concat(CASE lower(language) {cases} END, {typed}))), ' ') AS names FROM k WHERE text IS NOT NULL AND lower(language) IN ('cs', 'java', 'c', 'cpp')"
+
+
 _POS = "p AS (SELECT project, repo, lower(commit_hash) AS h, min(commit_seq) AS seq, arg_min(commit_date, commit_seq) AS commit_date FROM commit_log GROUP BY 1, 2, 3)"
 _STATE = """s AS (SELECT project, repo, lower(coalesce(commit_hash, '')) AS prior, coalesce(commit_hash, '') AS c, try_cast(trim(indexed_at) AS TIMESTAMPTZ) AS ts, indexed_at FROM repo_index_state),
 f AS (SELECT *, row_number() OVER (PARTITION BY project, repo ORDER BY ts DESC NULLS LAST, c DESC, indexed_at DESC) AS rn FROM s)"""
@@ -293,6 +407,27 @@ def oracle_sql() -> dict[str, str]:
           SELECT project, repo, pr_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:16], ' OR ') AS terms FROM w""",
         "fused_legs": f"WITH {_ONE}, {_vec(40)}, {_lex(40)}, {_FUSED} SELECT id, round(rrf, 9) AS rrf, round(score, 6) AS score, matched_by FROM f",
         "duplicate_clusters": _CLUSTERS,
+        "duplicate_locations": _CLUSTERS.replace("SELECT hash, count", ", t AS (SELECT hash, count", 1) + ") SELECT c.hash, project, repo, path, start_line, end_line FROM c JOIN t USING (hash)",
+        "min_score_search": _MIN_SCORE,
+        "file_contexts": _LINES + """, one AS (SELECT min(path) AS path FROM k WHERE project = 'harborline' AND repo = 'monolith-core'),
+          t AS (SELECT project, repo, path, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE ln BETWEEN 3 AND 30) AS text, min(ln) AS a, max(ln) AS b FROM n WHERE project = 'harborline' AND repo = 'monolith-core' AND path = (SELECT path FROM one) GROUP BY 1, 2, 3)
+          SELECT project, repo, path, true AS found, left(coalesce(text, ''), 400) AS text, a::INTEGER AS indexed_start, b::INTEGER AS indexed_end, coalesce(length(text), 0) > 400 AS truncated, '' AS note FROM t
+          UNION ALL SELECT 'harborline', 'monolith-core', 'no/such/file', false, '', 0, 0, false, 'no indexed chunks for this file'""",
+        "planted_gaps": _LINES.replace("FROM k WHERE text IS NOT NULL", "FROM k WHERE text IS NOT NULL AND ascii(right(id, 1)) % 3 <> 0").replace("AS line FROM e GROUP BY", "AS line FROM e WHERE start_line + i BETWEEN 1 AND 200 GROUP BY") + " SELECT project, repo, path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM g WHERE end_line >= start_line",
+        "import_shares": f"""WITH {_ONE}, l AS (SELECT id, list_filter(regexp_split_to_array(text, '{_EOL}'), lambda x: regexp_matches(x, '{text.IMPORT_LINE}')) AS l FROM k WHERE text IS NOT NULL)
+          SELECT id, len(l)::INTEGER AS imports, len(l) >= 3 AS dropped FROM l WHERE len(l) > 0""",
+        "renamed_paths": """SELECT DISTINCT change_id, CASE WHEN status = 'T' THEN 'M' WHEN status = 'M' THEN 'A' ELSE status END AS status, CASE WHEN status = 'M' THEN path || '.copy' ELSE path END AS path FROM file_changes
+          UNION SELECT change_id, 'A', path || '.moved' FROM file_changes WHERE status = 'D'""",
+        "backfilled_commits": f"""WITH {_POS}, c AS (SELECT f.project, f.repo, f.path, f.status, p.h, p.commit_date, row_number() OVER (PARTITION BY f.project, f.repo, f.path ORDER BY p.seq DESC, f.change_id DESC) AS rn
+          FROM file_changes f JOIN p ON p.project = f.project AND p.repo = f.repo AND p.h = lower(f.commit_hash)), l AS (SELECT * FROM c WHERE rn = 1 AND status <> 'D')
+          SELECT DISTINCT k.id, coalesce(l.h, k.commit_hash) AS commit_hash, coalesce(l.commit_date, k.commit_date) AS commit_date FROM chunks k LEFT JOIN l ON l.project = k.project AND l.repo = k.repo AND l.path = replace(k.path, chr(92), '/')""",
+        "upserted_chunks": """WITH k AS (SELECT DISTINCT ON (id) * FROM chunks WHERE id IS NOT NULL AND project IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL AND content_type IS NOT NULL AND text IS NOT NULL),
+          t AS (SELECT DISTINCT project, repo, path FROM file_changes), m AS (SELECT k.*, EXISTS (SELECT 1 FROM t WHERE t.project = k.project AND t.repo = k.repo AND t.path = k.path) AS again FROM k)
+          SELECT id, project, repo, path, CASE WHEN again THEN 3 ELSE length(text) END::INTEGER AS chars FROM m WHERE again OR project <> (SELECT min(project) FROM k)""",
+        "decoded_texts": f"SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND regexp_replace(text, '{_WS}', '', 'g') <> '' THEN sha256(replace(text, chr(0), '')) END AS text_sha FROM documents WHERE text IS NOT NULL",
+        "chunk_checks": f"SELECT DISTINCT doc_id, true AS inside, true AS sized, true AS ids, true AS lines, true AS hashed, true AS covered FROM documents WHERE regexp_replace(text, '{_WS}', '', 'g') <> ''",
+        "vector_checks": "SELECT DISTINCT project, repo, pr_id, 96 AS numbers, 1.0::DOUBLE AS length FROM pull_requests",
+        "typed_symbols": _typed_sql(),
         "stitched_files": _LINES + """, t AS (SELECT project, repo, path, string_agg(line, chr(10) ORDER BY ln) AS text, count(*) AS n_lines, min(ln) AS a, max(ln) AS b FROM n GROUP BY 1, 2, 3),
           q AS (SELECT project, repo, path, string_agg(start_line || '-' || end_line, ',' ORDER BY start_line) AS gaps FROM g WHERE end_line >= start_line GROUP BY 1, 2, 3)
           SELECT t.project, t.repo, t.path, n_lines::INTEGER AS n_lines, a::INTEGER AS indexed_start, b::INTEGER AS indexed_end, sha256(text) AS text_sha, coalesce(gaps, '') AS gaps

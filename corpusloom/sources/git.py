@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def git(root: str | Path, *args: str) -> str:
@@ -69,20 +70,57 @@ def name_status(root: str | Path, old: str, new: str) -> list[tuple[str, str]]:
     return out
 
 
-def commit_rows(root: str | Path) -> list[tuple[int, str, str, str]]:
-    """(position from the newest, hash, ISO date, path) of every change of the log."""
-    rows, seq, head = [], -1, ("", "")
-    for line in git(root, "log", "--format=%x01%H%x09%cI", "--name-only", "-z").replace("\0", "\n").split("\n"):
-        if line.startswith("\x01"):
-            seq, head = seq + 1, tuple(line[1:].split("\t"))
-        elif line:
-            rows.append((seq, *head, line))
-    return rows
+def log_batches(root: str | Path, size: int = 10_000) -> Iterator[list[tuple[int, str, str, str]]]:
+    """(position from the newest, hash, ISO date, path) of every change of the log, in lists of about SIZE while git runs."""
+    command = ["git", "-C", str(root), "log", "--format=%x01%H%x09%cI", "--name-only", "-z"]
+    rows: list[tuple[int, str, str, str]] = []
+    seq, head, rest = -1, ("", ""), b""
+    with subprocess.Popen(command, stdout=subprocess.PIPE) as run:
+        while data := run.stdout.read(1 << 20):
+            *parts, rest = (rest + data).replace(b"\0", b"\n").split(b"\n")
+            for line in parts:
+                if line.startswith(b"\x01"):
+                    seq, head = seq + 1, tuple(line[1:].decode().split("\t"))
+                elif line:
+                    rows.append((seq, *head, line.decode("utf-8", "replace")))
+            if len(rows) >= size:
+                yield rows
+                rows = []
+    if rest.strip(b"\n") and not rest.startswith(b"\x01"):
+        rows.append((seq, *head, rest.decode("utf-8", "replace")))
+    yield rows
 
 
-def commit_map(spark: SparkSession, root: str | Path) -> DataFrame:
-    """path, commit_hash, commit_date of the newest commit of each path."""
-    from pyspark.sql import functions as F
+_COMMITS = "project string, repo string, seq long, commit_hash string, commit_date string, path string"
 
-    log = spark.createDataFrame(commit_rows(root), "seq long, commit_hash string, commit_date string, path string")
-    return log.groupBy("path").agg(F.min_by(F.struct("commit_hash", "commit_date"), "seq").alias("x")).select("path", "x.*")
+
+def commit_logs(repos: DataFrame, folder: str, parallel: int = 8) -> DataFrame:
+    """Every change of the histories of all repositories (project, name) checked out below the shared FOLDER, read by the
+    tasks: project, repo, seq (0 is the newest commit), commit_hash, commit_date, path."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                for rows in log_batches(f"{folder}/{r.project}/{r.name}"):
+                    yield pd.DataFrame([(r.project, r.name, *row) for row in rows], columns=["project", "repo", "seq", "commit_hash", "commit_date", "path"])
+
+    return repos.select("project", "name").repartition(parallel).mapInPandas(run, _COMMITS)
+
+
+def commit_map(repos: DataFrame, folder: str, live: DataFrame | None = None) -> DataFrame:
+    """project, repo, path, commit_hash, commit_date of the newest commit of each path; of LIVE paths (project, repo, path)
+    only, if given."""
+    last = commit_logs(repos, folder).groupBy("project", "repo", "path").agg(F.min_by(F.struct("commit_hash", "commit_date"), "seq").alias("x"))
+    last = last.select("project", "repo", "path", "x.*")
+    return last if live is None else last.join(live.select("project", "repo", "path").distinct(), ["project", "repo", "path"], "left_semi")
+
+
+def changed_paths(plan: DataFrame, folder: str, parallel: int = 8) -> DataFrame:
+    """project, repo, status, path between `prior` and `head` of every repository of PLAN, read by the tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r.project, r.repo, *x) for r in f.itertuples() for x in name_status(f"{folder}/{r.project}/{r.repo}", r.prior, r.head)]
+            yield pd.DataFrame(rows, columns=["project", "repo", "status", "path"])
+
+    return plan.select("project", "repo", "prior", "head").repartition(parallel).mapInPandas(run, "project string, repo string, status string, path string")

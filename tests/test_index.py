@@ -8,7 +8,7 @@ from corpusloom import schema
 from corpusloom.api import Api, Tools
 from corpusloom.functions.embedding import hash_provider
 from corpusloom.operators.changes import index_plan
-from corpusloom.plans import indexing, queries
+from corpusloom.plans import indexing, queries, run
 from corpusloom.sources import config, files, git
 from corpusloom.sources import pull_requests as pr
 from corpusloom.store import ConcurrentChange, IndexNotReady, Store
@@ -80,7 +80,14 @@ def repo(tmp_path):
 def test_git(repo, spark):
     root, first = repo
     assert sorted(git.name_status(root, first, git.head_commit(root))) == [("A", "d.py"), ("D", "b.py"), ("D", "c.py"), ("M", "a.py")]
-    assert {r["path"]: r["commit_hash"] for r in git.commit_map(spark, root).collect()}["c.py"] == git.head_commit(root)
+    repos = spark.createDataFrame([("p", "r")], "project string, name string")
+    folder = str(root.parents[1])
+    assert {r["path"]: r["commit_hash"] for r in git.commit_map(repos, folder).collect()} == {"a.py": git.head_commit(root), "d.py": git.head_commit(root), "b.py": first, "c.py": git.head_commit(root)}
+    live = spark.createDataFrame([("p", "r", "a.py")], "project string, repo string, path string")
+    assert [r["path"] for r in git.commit_map(repos, folder, live).collect()] == ["a.py"]
+    assert [len(b) for b in git.log_batches(root, 1)][0] >= 1 and sum(len(b) for b in git.log_batches(root)) == 6
+    plan = spark.createDataFrame([("p", "r", first, git.head_commit(root))], "project string, repo string, prior string, head string")
+    assert {(r["status"], r["path"]) for r in git.changed_paths(plan, folder).collect()} == {("A", "d.py"), ("D", "b.py"), ("D", "c.py"), ("M", "a.py")}
     assert git.repo_url("http://h/", "a b", "c") == "http://h/a%20b/_git/c"
 
 
@@ -102,7 +109,7 @@ def test_index_run(repo, tmp_path, spark):
     head = git.head_commit(root)
     plan = lambda prior: index_plan(spark.createDataFrame([("p", "r", 1, first, "d"), ("p", "r", 2, head, "d")], log), spark.createDataFrame(prior, "project string, repo string, commit_hash string, indexed_at string"))
     none = spark.createDataFrame([], "project string, repo string, path string, status string")
-    commits = git.commit_map(spark, root).withColumn("project", F.lit("p")).withColumn("repo", F.lit("r"))
+    commits = git.commit_map(spark.createDataFrame([("p", "r")], "project string, name string"), str(root.parents[1]))
     indexing.index_repos(store, plan([]), none, rows, hash_provider, commits)
     assert {r["symbols"] for r in store.read("chunks").collect()} == {"alpha2", "beta"} and store.read("repo_index_state").first()["commit_hash"] == head
     assert {r["commit_hash"] for r in store.read("chunks").collect()} == {head}
@@ -213,6 +220,29 @@ def test_killed_runs_skip_and_repeat_nothing(spark, tmp_path, monkeypatch):
     assert store.read("processed").count() == 5 and len(store.state()["tables"]["processed"]) == 1
 
 
+def test_whole_run(repo, tmp_path, spark):
+    """From the configuration to the index: a failing repository is reported, a second run skips, a third is incremental."""
+    root, _ = repo
+    (tmp_path / "host" / "p").mkdir(parents=True)
+    (tmp_path / "host" / "p" / "_git").symlink_to(root.parent)
+    host = str(tmp_path / "host")
+    store, folder = Store(spark, str(tmp_path / "store")), str(tmp_path / "checkouts")
+    config = {"repos": {"p": ["r", "missing"]}, "azure_devops": {"index_pull_requests": True}}
+    go = lambda: run.run_index(store, config, host, folder, hash_provider, pull_requests={"fetch": "tests.test_index.fake_fetch"})
+    steps = []
+    report = run.run_index(store, config, host, folder, hash_provider, progress=lambda r: steps.append(r.files), pull_requests={"fetch": "tests.test_index.fake_fetch"})
+    assert report.actions == {"full": 1} and [x[:2] for x in report.failed] == [("p", "missing")] and report.files == 2 and report.bytes > 0 and steps == [0, 0, 2, 2]
+    assert store.read("chunks", ["code"]).count() == 2 and store.read("chunks", ["pr"]).count() == 205 and store.read("pr_state").first()["last_pr_id"] == 205
+    assert {r["commit_hash"] for r in store.read("chunks", ["code"]).collect()} == {git.head_commit(root)}
+    assert go().actions == {"skip": 1}
+    (root / "a.py").write_text("def alpha3():\n    return 1\n")
+    subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=e", "commit", "-qam", "3"], check=True)
+    assert go().actions == {"incremental": 1}
+    assert {r["symbols"] for r in store.read("chunks", ["code"]).collect()} == {"alpha3", "beta"} and store.read("chunks").count() == 207
+    api = Api(store, hash_provider)
+    assert api.total() == 207 and {r["language"] for r in api.languages().collect()} == {"py", "md"}
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("p", "r", 4, "a", "b", "d", [1])], pr.SCHEMA).write.parquet(str(tmp_path / "in"))
     store = Store(spark, str(tmp_path / "store"))
