@@ -236,3 +236,19 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=[key, "tokens"])
 
     return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, tokens int")
+
+
+def decoded(ids: DataFrame, key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """KEY and the text that ids (array<int>) spell; null for null."""
+    path = vocabulary or os.path.join(TOKENIZER_DIR, VOCABULARY)
+    kind = ids.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [None if x is None else enc.decode_bytes(x).decode() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return ids.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, text string")
