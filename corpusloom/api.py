@@ -25,7 +25,7 @@ class Api:
             raise IndexNotReady(str(e)) from e
 
     def search(self, query: str, top_k: int = 8, max_chars: int = 0, **filters: object) -> DataFrame:
-        return search.hybrid_search(self._chunks(), query, query_vector(self.provider, query), top_k, max_chars=max_chars, **filters).orderBy("rk")
+        return search.hybrid_search(self._chunks(), query, query_vector(self.provider, query), top_k, max_chars=max_chars, index=self.store.read("postings"), **filters).orderBy("rk")
 
     def duplicates(self, **options: object) -> DataFrame:
         return reports.duplicate_clusters(self._chunks(), **options)
@@ -49,7 +49,7 @@ class Api:
         return self._chunks().count()
 
     def definitions(self, name: str, top_k: int = 8, max_chars: int = 0, **filters: object) -> DataFrame:
-        return search.find_definitions(self._chunks(), name, top_k=top_k, max_chars=max_chars, **filters)
+        return search.find_definitions(self._chunks(), name, top_k=top_k, max_chars=max_chars, index=self.store.read("postings"), **filters)
 
 
 class Tools(Api):

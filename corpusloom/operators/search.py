@@ -89,6 +89,39 @@ def lexical_leg(chunks: DataFrame, query: str, n: int, cond: Column | None = Non
     return _top(rows.where(any_term).select("id", hits.alias("_hits")).where("size(_hits) > 0").select("id", score.alias("score")), n)
 
 
+#: What a posting says of its chunk besides the term, so that filters need no join.
+POSTING = ["id", "project", "repo", "path", "language", "content_type"]
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """field (text or symbols), term, tf and POSTING of every word of the chunks: what the legs below read of an index."""
+
+    def named(field: str, pattern: str) -> Column:
+        found = F.coalesce(F.regexp_extract_all(F.lower(field), F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+        return F.transform(found, lambda w: F.struct(F.lit(field).alias("field"), w.alias("term")))
+
+    words = F.explode(F.concat(named("text", "([a-z0-9_]{2,})"), named("symbols", "([a-z0-9_]+)")))
+    rows = chunks.select(*POSTING, words.alias("w")).select(*POSTING, "w.field", "w.term")
+    return rows.groupBy(*POSTING, "field", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def _posted(index: DataFrame, field: str, terms: list[str], cond: Column | None) -> tuple[DataFrame, Column]:
+    """(id with a column of the frequency of each term, score): only the postings of the terms are read."""
+    low = [t.lower() for t in terms]
+    rows = index.where((F.col("field") == field) & F.col("term").isin(*low) & (cond if cond is not None else F.lit(True)))
+    wide = rows.groupBy("id").agg(*[F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(low)])
+    return wide, sum((F.col(f"tf{i}") / (F.col(f"tf{i}") + SATURATION) for i in range(len(low))), F.lit(0.0))
+
+
+def indexed_lexical_leg(index: DataFrame, query: str, n: int, cond: Column | None = None) -> DataFrame:
+    """lexical_leg from an index of postings."""
+    terms = query_terms(query)
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    rows, score = _posted(index, "text", terms, cond)
+    return _top(rows.select("id", score.alias("score")), n)
+
+
 def _ranked(leg: DataFrame) -> DataFrame:
     """A leg's 0-based ranks; a leg has at most 200 rows."""
     return leg.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)
@@ -142,27 +175,36 @@ def hybrid_search(
     content_type: str | None = None,
     compact: bool = False,
     max_chars: int = 0,
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Both legs under the same filters, over-fetched four times, fused, collapsed and shaped; ordered by rk."""
+    """Both legs under the same filters, over-fetched four times, fused, collapsed and shaped; ordered by rk. With an INDEX of
+    postings the lexical leg reads only those of the query's terms."""
     top_k = min(max(top_k, 1), 50)
     n = min(max(4 * top_k, 40), 200)
     cond = filters(repo, language, path_contains, content_type)
-    fused = fuse(vector_leg(chunks, vector, n, cond), lexical_leg(chunks, query, n, cond))
+    lexical = lexical_leg(chunks, query, n, cond) if index is None else indexed_lexical_leg(index, query, n, cond)
+    fused = fuse(vector_leg(chunks, vector, n, cond), lexical)
     return shaped(collapse(fused, chunks, top_k, min_score), compact, max_chars)
 
 
-def find_definitions(chunks: DataFrame, name: str, repo: str | None = None, language: str | None = None, path_contains: str | None = None, top_k: int = 8, max_chars: int = 0) -> DataFrame:
-    """Chunks whose symbols hold every token of the name, best first (saturated frequency, then id)."""
+def find_definitions(chunks: DataFrame, name: str, repo: str | None = None, language: str | None = None, path_contains: str | None = None, top_k: int = 8, max_chars: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """Chunks whose symbols hold every token of the name, best first (saturated frequency, then id); with an INDEX of postings
+    only those of the name are read."""
     terms = list(dict.fromkeys(t.lower() for t in re.findall(r"[A-Za-z0-9_]+", name or "")))
     top_k = min(max(top_k, 1), 50)
     rows = chunks.where(filters(repo, language, path_contains))
     if not terms:
         return rows.select(*HIT, "symbols").limit(0)
-    words = F.regexp_extract_all(F.lower("symbols"), F.lit("([a-z0-9_]+)"), F.lit(1))
-    hit = rows.where(F.col("symbols").isNotNull()).select("id", words.alias("_w"))
-    for t in terms:
-        hit = hit.where(F.array_contains("_w", t))
-    best = _top(hit.select("id", sum((_saturated("_w", t) for t in terms), F.lit(0.0)).alias("score")), top_k)
+    if index is not None:
+        hit, score = _posted(index, "symbols", terms, filters(repo, language, path_contains))
+        for i in range(len(terms)):
+            hit = hit.where(F.col(f"tf{i}") > 0)
+    else:
+        words = F.regexp_extract_all(F.lower("symbols"), F.lit("([a-z0-9_]+)"), F.lit(1))
+        hit, score = rows.where(F.col("symbols").isNotNull()).select("id", words.alias("_w")), sum((_saturated("_w", t) for t in terms), F.lit(0.0))
+        for t in terms:
+            hit = hit.where(F.array_contains("_w", t))
+    best = _top(hit.select("id", score.alias("score")), top_k)
     found = chunks.select("id", *HIT, "symbols").join(F.broadcast(best), "id").dropDuplicates(["id"])
     found = found.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).drop("score")
     return shaped(found, max_chars=max_chars)

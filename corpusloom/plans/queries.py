@@ -63,6 +63,38 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("rk", "project", "repo", "path", "start_line", "matched_by", F.round("score", 6).alias("score"), "snippet", copies.alias("duplicates"))
 
 
+_stores: dict[tuple[int, str], Store] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """The chunks of a data directory in a store with its index, built at the first use in a session."""
+    key = (id(spark), sf_dir)
+    if key not in _stores:
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        store.ensure()
+        store.upsert(_chunks(spark, sf_dir).where("id is not null").withColumn("embedding", F.lit(None).cast("array<float>")))
+        _stores[key] = store
+    return _stores[key]
+
+
+def indexed_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_search through a store's index of postings."""
+    return search.indexed_lexical_leg(_stored(spark, sf_dir).read("postings"), QUERY, TOP).select("id", F.round("score", 9).alias("score"))
+
+
+def indexed_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hybrid_search with the lexical leg through a store's index of postings."""
+    hits = search.hybrid_search(_chunks(spark, sf_dir), QUERY, VECTOR, top_k=TOP, compact=True, index=_stored(spark, sf_dir).read("postings"))
+    copies = F.array_join(F.transform("duplicates", lambda d: F.concat_ws("/", d["project"], d["repo"], d["path"])), "|")
+    return hits.select("rk", "project", "repo", "path", "start_line", "matched_by", F.round("score", 6).alias("score"), "snippet", copies.alias("duplicates"))
+
+
+def indexed_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_definitions through a store's index of postings."""
+    store = _stored(spark, sf_dir)
+    return search.find_definitions(store.read("chunks"), SYMBOL, top_k=50, index=store.read("postings")).select("project", "repo", "path", "start_line", "rk", "symbols")
+
+
 def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reports.duplicate_clusters(_chunks(spark, sf_dir), limit=200)
     places = F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["project"], x["repo"], x["path"], x["start_line"], x["end_line"])), "|")
@@ -284,7 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         hybrid_search, vector_search, lexical_search, filtered_lexical_search, path_filter, query_tokens, fused_legs, duplicate_clusters, stitched_files, stitched_window, file_gaps,
         inventory, repo_freshness, language_counts, find_definitions, skipped_paths, minified_texts, import_chunks, content_hashes, stale_hashes, chunk_ids, chunk_symbols, typed_symbols,
         name_status, last_commits, index_plan, pr_documents, pr_cursors, upserted_paths, document_chunks, embedded_prs, p7_found,
-        duplicate_locations, min_score_search, file_contexts, planted_gaps, import_shares, renamed_paths, backfilled_commits, upserted_chunks, decoded_texts, chunk_checks, vector_checks,
+        indexed_lexical_search, indexed_hybrid_search, indexed_definitions, duplicate_locations, min_score_search, file_contexts, planted_gaps, import_shares, renamed_paths, backfilled_commits, upserted_chunks, decoded_texts, chunk_checks, vector_checks,
     )
     return {f.__name__: f for f in found}
 
@@ -395,6 +427,12 @@ GROUP BY c.project, c.repo, l.h, c.status, c.path"""
 
 
 def oracle_sql() -> dict[str, str]:
+    given = _oracle_sql()
+    same = {"indexed_lexical_search": "lexical_search", "indexed_hybrid_search": "hybrid_search", "indexed_definitions": "find_definitions"}
+    return given | {name: given[of] for name, of in same.items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     code = "replace(path, chr(92), '/') ILIKE '%src/l%' ESCAPE '\\' AND content_type = 'code'"
     return {
         "hybrid_search": _HYBRID,

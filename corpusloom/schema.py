@@ -12,6 +12,7 @@ CHUNKS = T.StructType(
     + [T.StructField(n, _s, n != "text") for n in ("commit_hash", "commit_date", "content_hash", "symbols", "text")]
     + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
 )
+POSTINGS = T.StructType([T.StructField(n, _s) for n in ("field", "term", "id", "project", "repo", "path", "language", "content_type")] + [T.StructField("tf", _i)])
 STATE = T.StructType([T.StructField(n, _s) for n in ("project", "repo", "commit_hash", "indexed_at")])
 PR_STATE = T.StructType([T.StructField("project", _s), T.StructField("repo", _s), T.StructField("last_pr_id", _l), T.StructField("indexed_at", _s)])
 RUNS = T.StructType([T.StructField("run_id", _s), T.StructField("started_at", T.TimestampType()), T.StructField("finished_at", T.TimestampType()), T.StructField("outcome", _s)])

@@ -6,7 +6,8 @@ version before, and of two writers the second finds N + 1 taken, looks again and
 partitions.
 
 Chunks are partitioned by content type, a bucket of the repository and a bucket of the path; a change reads and writes the
-touched partitions only. The other tables have one partition, the ledger of processed changes one a run.
+touched partitions only. The postings of their words are an index in the same partitions, sorted by term, written in the
+same commit; a search for a term reads the pages of the term. The other tables have one partition, the ledger of processed changes one a run.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom import schema
+from corpusloom.operators.search import postings
 from corpusloom.session import saved
 
 
@@ -45,9 +47,9 @@ def part_of(content_type: Column, project: Column, repo: Column, path: Column) -
 
 
 class Store:
-    """Tables chunks, repo_index_state, pr_state, index_runs and processed below a shared folder."""
+    """Tables chunks, postings, repo_index_state, pr_state, index_runs and processed below a shared folder."""
 
-    SCHEMAS = {"chunks": schema.CHUNKS, "repo_index_state": schema.STATE, "pr_state": schema.PR_STATE, "index_runs": schema.RUNS, "processed": schema.PROCESSED}
+    SCHEMAS = {"chunks": schema.CHUNKS, "postings": schema.POSTINGS, "repo_index_state": schema.STATE, "pr_state": schema.PR_STATE, "index_runs": schema.RUNS, "processed": schema.PROCESSED}
     KEEP = 3
     #: Ledger partitions from which they are merged into one.
     LEDGER_PARTS = 64
@@ -168,19 +170,21 @@ class Store:
         wanted: StructType = self.SCHEMAS[name]
         version = "v" + datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted], part.alias("part"))
-        if name == "chunks":
-            out = out.repartition("part").sortWithinPartitions("part", "project", "repo", "path")
+        order = {"chunks": ["project", "repo", "path"], "postings": ["field", "term"]}.get(name)
+        if order:
+            out = out.repartition("part").sortWithinPartitions("part", *order)
         out.write.partitionBy("part").parquet(f"{self.root}/{name}/{version}")
         return {p[5:]: version for p in self._list(f"{name}/{version}") if p.startswith("part=")}
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Replace a whole table."""
+        """Replace a whole table other than chunks and their index, which `apply` changes."""
+        if name in ("chunks", "postings"):
+            raise ValueError("chunks are changed by apply")
         base = self.state()
         self.commit(base, {name: self._whole(base, name, df)})
 
     def _whole(self, base: dict, name: str, df: DataFrame) -> dict[str, str | None]:
-        part = part_of(*(F.col(c) for c in ("content_type", "project", "repo", "path"))) if name == "chunks" else F.lit("all")
-        return dict.fromkeys(base.get("tables", {}).get(name, {})) | self._store(name, df, part)
+        return dict.fromkeys(base.get("tables", {}).get(name, {})) | self._store(name, df, F.lit("all"))
 
     def apply(self, new: DataFrame | None = None, paths: DataFrame | None = None, repos: DataFrame | None = None, also: dict[str, DataFrame] | None = None, ledger: tuple[str, DataFrame] | None = None) -> None:
         """One commit: chunks of PATHS (project, repo, path) and REPOS (project, repo, content_type) go, NEW rows replace those
@@ -218,7 +222,10 @@ class Store:
             if repos is not None:
                 kept = kept.join(repos, ["project", "repo", "content_type"], "left_anti")
             rows = kept if new is None else kept.unionByName(new)
-            parts["chunks"] = dict.fromkeys(touched) | self._store("chunks", rows, part_of(*(col(c) for c in ("content_type", "project", "repo", "path"))))
+            part = part_of(*(col(c) for c in ("content_type", "project", "repo", "path")))
+            stored = self._store("chunks", rows, part)
+            parts["chunks"] = dict.fromkeys(touched) | stored
+            parts["postings"] = dict.fromkeys(touched) | self._store("postings", postings(self._open("chunks", stored)), part)
         for name, df in (also or {}).items():
             parts[name] = self._whole(base, name, df)
         if ledger is not None:

@@ -127,3 +127,18 @@ def test_inventory(spark):
     rows = {r["repo"]: r for r in reports.inventory(c, s).collect()}
     assert (rows["r"]["chunks"], rows["r"]["files"], rows["r"]["commit_hash"], rows["r"]["indexed_at"]) == (2, 2, "new", "2024-01-01T01:00:00Z") and rows["s"]["commit_hash"] is None
     assert reports.inventory(c).count() == 2
+
+
+def test_postings_give_what_scanning_gives(spark):
+    """Legs and definitions through the index, under filters; terms in one, several and no chunks; null texts and symbols."""
+    rows = [chunk("a", "Foo foo bar_1 x", path="src/a.py", symbols="Foo bar"), chunk("b", "foo", repo="s", path="src/b.py", symbols=None), chunk("c", None, path="c.md", kind="wiki", symbols="foo foo"), chunk("d", "zz bar_1 foo " * 3, path="d", kind="pr")]
+    c = spark.createDataFrame(rows, SCHEMA)
+    index = search.postings(c)
+    for query in ("foo", "FOO bar_1 nothing", "nothing", "x", ""):
+        for cond in (None, search.filters(repo="r"), search.filters(path_contains="SRC\\a", content_type="code")):
+            got, want = ([tuple(r) for r in leg.orderBy(F.desc("score"), "id").collect()] for leg in (search.indexed_lexical_leg(index, query, 3, cond), search.lexical_leg(c, query, 3, cond)))
+            assert got == want
+    assert search.indexed_lexical_leg(index, "foo", 3).count() == 3
+    for name, n in (("foo", 2), ("bar foo", 1), ("none", 0), ("", 0)):
+        got, want = ([r["path"] for r in search.find_definitions(c, name, index=i).collect()] for i in (index, None))
+        assert got == want and len(got) == n
