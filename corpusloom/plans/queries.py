@@ -70,7 +70,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
     """The chunks of a data directory in a store with its index, built at the first use in a session."""
     key = (id(spark), sf_dir)
     if key not in _stores:
-        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", (8, 1))
         store.ensure()
         store.upsert(_chunks(spark, sf_dir).where("id is not null").withColumn("embedding", F.lit(None).cast("array<float>")))
         _stores[key] = store

@@ -33,7 +33,8 @@ class ConcurrentChange(Exception):
     """Another writer has changed the same partitions since they were read."""
 
 
-REPO_BUCKETS, PATH_BUCKETS = 64, 8
+#: Buckets of repositories and of paths of a new store: a partition should hold some 100 MB, so more for 100 TB.
+BUCKETS = (64, 8)
 
 
 def utc_now() -> Column:
@@ -41,9 +42,9 @@ def utc_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def part_of(content_type: Column, project: Column, repo: Column, path: Column) -> Column:
-    """Partition name of a chunk."""
-    return F.concat_ws("-", content_type, F.pmod(F.xxhash64(project, repo), F.lit(REPO_BUCKETS)), F.pmod(F.xxhash64(path), F.lit(PATH_BUCKETS)))
+def part_of(content_type: Column, buckets: tuple[int, int]) -> Column:
+    """Partition name of a chunk (project, repo, path)."""
+    return F.concat_ws("-", content_type, F.pmod(F.xxhash64("project", "repo"), F.lit(buckets[0])), F.pmod(F.xxhash64("path"), F.lit(buckets[1])))
 
 
 class Store:
@@ -54,8 +55,9 @@ class Store:
     #: Ledger partitions from which they are merged into one.
     LEDGER_PARTS = 64
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: tuple[int, int] = BUCKETS) -> None:
+        """BUCKETS: of repositories and of paths, if the store is new; an existing one keeps its own."""
+        self.spark, self.root, self._new_buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
 
     # ---- manifests --------------------------------------------------------------------------------------------------
@@ -144,7 +146,7 @@ class Store:
         now = self.state()
         missing = {name: {} for name in self.SCHEMAS if name not in now.get("tables", {})}
         if missing:
-            self.commit(now, missing)
+            self.commit(now, missing, buckets=now.get("buckets") or list(self._new_buckets))
 
     def reset(self, fingerprint: str) -> None:
         """Empty tables under a new fingerprint."""
@@ -192,8 +194,9 @@ class Store:
         run's processed changes. Only partitions that hold such chunks are read and written."""
         base = self.state()
         have = base.get("tables", {}).get("chunks", {})
-        col = F.col
-        suffix = F.substring_index(part_of(F.lit("x"), col("project"), col("repo"), col("path")), "-", -2)
+        buckets_of = tuple(base.get("buckets") or self._new_buckets)
+        part = part_of(F.col("content_type"), buckets_of)
+        suffix = F.substring_index(part_of(F.lit("x"), buckets_of), "-", -2)
         parts: dict[str, dict[str, str | None]] = {}
         settings: dict[str, object] = {}
         touched: set[str] = set()
@@ -210,7 +213,7 @@ class Store:
             touched |= {k for k in have if "-".join(k.rsplit("-", 2)[1:]) in buckets}
         if repos is not None:
             repos = repos.select("project", "repo", "content_type").distinct()
-            of = F.concat_ws("-", "content_type", F.pmod(F.xxhash64("project", "repo"), F.lit(REPO_BUCKETS)))
+            of = F.concat_ws("-", "content_type", F.pmod(F.xxhash64("project", "repo"), F.lit(buckets_of[0])))
             kinds = {r[0] for r in repos.select(of).distinct().collect()}
             touched |= {k for k in have if k.rsplit("-", 1)[0] in kinds}
         if new is not None or touched:
@@ -222,7 +225,6 @@ class Store:
             if repos is not None:
                 kept = kept.join(repos, ["project", "repo", "content_type"], "left_anti")
             rows = kept if new is None else kept.unionByName(new)
-            part = part_of(*(col(c) for c in ("content_type", "project", "repo", "path")))
             stored = self._store("chunks", rows, part)
             parts["chunks"] = dict.fromkeys(touched) | stored
             parts["postings"] = dict.fromkeys(touched) | self._store("postings", postings(self._open("chunks", stored)), part)
