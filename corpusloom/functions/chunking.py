@@ -9,10 +9,9 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions.symbols import symbols
 from corpusloom.functions.text import chunk_id, content_hash, embed_header, is_import_dominated, token_estimate
@@ -108,18 +107,27 @@ def line_of(starts: list[int], position: int) -> int:
     return max(1, bisect_right(starts, position))
 
 
-_CHUNK = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()), T.StructField("text", T.StringType())]))
+_KEPT = ["project", "repo", "path", "language", "content_type", "file_size_bytes", "commit_hash", "commit_date"]
 
 
-@F.pandas_udf(_CHUNK)
-def split_text(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    def one(text: str | None, language: str | None) -> list[dict]:
-        if not text:
-            return []
-        starts = line_starts(text)
-        return [{"idx": i, "start_line": line_of(starts, a), "end_line": line_of(starts, b), "text": text[a:b]} for i, (a, b) in enumerate(split_spans(text, (language or "").lower()))]
-
-    return pd.Series([one(t, x) for t, x in zip(texts, languages)])
+def split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of files (_KEPT, text) to batches of their chunks (_KEPT, idx, start_line, end_line, text)."""
+    text_at, language_at = len(_KEPT), _KEPT.index("language")
+    for batch in batches:
+        take, idx, first, last, parts = [], [], [], [], []
+        for row, (text, language) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(language_at).to_pylist())):
+            if not text:
+                continue
+            spans = split_spans(text, (language or "").lower())
+            starts = line_starts(text)
+            take += [row] * len(spans)
+            idx += range(len(spans))
+            first += [line_of(starts, a) for a, _ in spans]
+            last += [line_of(starts, b) for _, b in spans]
+            parts += [text[a:b] for a, b in spans]
+        rows = pa.array(take, pa.int64())
+        kept = [batch.column(i).take(rows) for i in range(text_at)]
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int32()) for x in (idx, first, last)), pa.array(parts, pa.string())], names=[*_KEPT, "idx", "start_line", "end_line", "text"])
 
 
 def chunk_rows(files: DataFrame) -> DataFrame:
@@ -128,13 +136,14 @@ def chunk_rows(files: DataFrame) -> DataFrame:
     for name in ("commit_hash", "commit_date"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(""))
-    keep = ["project", "repo", "path", "language", "content_type", "file_size_bytes", "commit_hash", "commit_date"]
-    rows = files.select(*keep, F.explode(split_text("text", "language")).alias("c")).select(*keep, "c.*")
+    kept = [F.col(c).cast("long" if c == "file_size_bytes" else "string").alias(c) for c in _KEPT]
+    schema = ", ".join(f"{c} {'long' if c == 'file_size_bytes' else 'string'}" for c in _KEPT) + ", idx int, start_line int, end_line int, text string"
+    rows = files.select(*kept, F.col("text").cast("string")).mapInArrow(split_batches, schema)
     rows = rows.where(~is_import_dominated(F.col("text")))
     ids = chunk_id(F.col("project"), F.col("repo"), F.col("path"), F.col("idx"))
     header: Column = embed_header(F.col("project"), F.col("repo"), F.col("path"))
     return rows.select(
-        ids.alias("id"), "project", "repo", "path", "language", "content_type", "start_line", "end_line", F.col("file_size_bytes").cast("long").alias("file_size_bytes"),
+        ids.alias("id"), "project", "repo", "path", "language", "content_type", "start_line", "end_line", "file_size_bytes",
         token_estimate(F.col("text")).alias("chunk_tokens_estimate"), "commit_hash", "commit_date", content_hash(F.col("text")).alias("content_hash"),
         symbols(F.col("text"), F.col("language")).alias("symbols"), "text", F.concat(header, F.col("text")).alias("embed_text"),
     )
