@@ -65,11 +65,17 @@ def is_minified(text: Column) -> Column:
     return (F.length(text) >= 2000) & (F.length(text) / (newlines + 1) > 300)
 
 
+#: Anything that is not white space in the sense of WS.
+_SOLID = WS[:-1].replace("[", "[^", 1)
+
+
 def is_import_dominated(text: Column) -> Column:
-    """Of three or more lines that are not blank more than 0.8 import."""
-    full = F.filter(lines_of(text), lambda x: F.regexp_replace(x, WS, "") != "")
-    imports = F.filter(full, lambda x: x.rlike(IMPORT_LINE))
-    return (F.size(full) >= 3) & (F.size(imports) / F.greatest(F.size(full), F.lit(1)) > 0.8)
+    """Of three or more lines that are not blank more than 0.8 import. Texts in which no import form occurs anywhere, most of
+    all, are not cut into lines."""
+    full = F.filter(lines_of(text), lambda x: x.rlike(_SOLID))
+    marks = F.transform(full, lambda x: x.rlike(IMPORT_LINE))
+    dominated = (F.size(marks) >= 3) & (F.size(F.filter(marks, lambda m: m)) / F.greatest(F.size(marks), F.lit(1)) > 0.8)
+    return F.when(text.rlike(IMPORT_LINE.removeprefix(r"^\s*")), dominated).otherwise(F.lit(False))
 
 
 def embed_header(project: Column, repo: Column, path: Column) -> Column:
