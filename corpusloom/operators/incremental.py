@@ -25,8 +25,15 @@ CHANGE_KEY = ["project", "repo", "commit_hash", "status", "path"]
 
 
 def instant(text: Column) -> Column:
-    """ISO text with any offset or none (UTC) to a timestamp; null when it is none."""
-    return F.try_to_timestamp(F.trim(text))
+    """ISO text with any offset or none (UTC, whatever the session's zone) to a timestamp; null when it is none."""
+    t = F.trim(text)
+    day, bare = t.rlike(r"^\d{4}-\d{2}-\d{2}$"), ~t.rlike(r"(?i)(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$")
+    return F.try_to_timestamp(F.when(day, F.concat(t, F.lit("T00:00:00Z"))).when(bare, F.concat(t, F.lit("Z"))).otherwise(t))
+
+
+def iso(at: Column) -> Column:
+    """A timestamp as ISO text in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def commit_positions(log: DataFrame) -> DataFrame:

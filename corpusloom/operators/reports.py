@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash
+from corpusloom.operators.incremental import instant, iso
 from corpusloom.session import saved
 
 FILE = ["project", "repo", "path"]
@@ -103,9 +104,9 @@ def freshness(states: DataFrame | None, like: DataFrame) -> DataFrame:
     """project, repo, commit_hash, indexed_at: the newest state of each repository; empty without a table."""
     if states is None:
         return like.sparkSession.createDataFrame([], "project string, repo string, commit_hash string, indexed_at string")
-    at = F.try_to_timestamp(F.trim("indexed_at"))
+    at = instant(F.col("indexed_at"))
     last = states.groupBy("project", "repo").agg(F.max(F.struct(at.alias("at"), F.coalesce("commit_hash", F.lit("")).alias("c"), F.col("indexed_at").alias("t"))).alias("s"))
-    return last.select("project", "repo", F.col("s.c").alias("commit_hash"), F.date_format("s.at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("indexed_at"))
+    return last.select("project", "repo", F.col("s.c").alias("commit_hash"), iso(F.col("s.at")).alias("indexed_at"))
 
 
 def inventory(chunks: DataFrame, states: DataFrame | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import changes, incremental
 
 LOG = "project string, repo string, commit_seq bigint, commit_hash string, commit_date string, pushed_at timestamp"
@@ -60,3 +62,15 @@ def test_pr_documents(spark):
     assert rows[3]["text"] == "# T\n\n\n\nLinked work items: #2, #7" and rows[9]["text"] == "# \n\nx" and rows[9]["path"] == "_pull_requests/9.md"
     cursor = spark.createDataFrame([("p", "r", 3)], "project string, repo string, last_pr_id bigint")
     assert [r["pr_id"] for r in changes.new_pull_requests(prs, cursor).collect()] == [9]
+
+
+def test_instants_do_not_depend_on_the_session(spark):
+    texts = ["2024-01-01T02:00:00Z", "2024-01-01T02:00:00", " 2024-01-01 04:00:00+02:00", "2024-01-01", "2024-01-01T02:00:00.5+0000", "x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = ["2024-01-01T02:00:00Z"] * 3 + ["2024-01-01T00:00:00Z", "2024-01-01T02:00:00Z", None, None, None]
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r[0] for r in rows.select(incremental.iso(incremental.instant(F.col("t")))).collect()] == want
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
