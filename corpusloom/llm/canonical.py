@@ -32,6 +32,8 @@ FIELD_LANGUAGES = ("yml", "json", "env", "ini")
 BUCKET, BUCKET_BYTES, FIRST, FURTHER = 50_000, 32 << 20, 4, 3
 #: Distinct keys and bytes a partition counts before it hands them on.
 PARTIAL, PARTIAL_BYTES = 200_000, 64 << 20
+#: Repeated ids up to which they are broadcast (counted; about 60 bytes each).
+REPEATED = 500_000
 #: Rows of one key from which its members are joined by broadcast of the few hot keys instead of by shuffle.
 HOT = 20_000
 
@@ -167,13 +169,25 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def keyed(chunks: DataFrame) -> DataFrame:
-    """id and canonical bytes; a row stored twice has both equal."""
-    return chunks.where("text is not null and id is not null").select("id", canonical_bytes(F.col("text"), F.col("language")).alias("canon"))
+    """id, canonical bytes and a number of every row, stored; a row stored twice has id and bytes equal."""
+    rows = chunks.where("text is not null and id is not null").select("id", canonical_bytes(F.col("text"), F.col("language")).alias("canon"))
+    return numbered(rows)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    return saved(rows.withColumn("uid", F.monotonically_increasing_id()), "canon")
+
+
+def each_once(rows: DataFrame) -> DataFrame:
+    """ROWS (id, canon, uid) without repeated ids: only ids are shuffled, the few repeated ones come back to the texts."""
+    twice = saved(rows.groupBy("id").agg(F.count("*").alias("times"), F.min("uid").alias("first")).where("times > 1").select("id", "first"), "twice")
+    twice = F.broadcast(twice) if twice.count() <= REPEATED else twice
+    return rows.join(twice, "id", "left").where("first is null or uid = first").drop("first", "uid")
 
 
 def key_counts(rows: DataFrame, **limits: int) -> DataFrame:
     """key (digest), n, least of every group of equal rows (id, canon), groups of one row included."""
-    entries = saved(partial_counts(rows.dropDuplicates(["id"])), "entries")
+    entries = saved(partial_counts(each_once(rows if "uid" in rows.columns else numbered(rows))), "entries")
     order = ["bucket", "salted"]
     tries = radix_buckets(entries, **limits).select(*order, "canon", "n", "least").repartition(*order).sortWithinPartitions(*order)
     counted = saved(tries.mapInArrow(count_buckets, "key binary, n long, least string, salted boolean"), "counted")
@@ -188,7 +202,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
 
 def copies(chunks: DataFrame) -> DataFrame:
     """keep_id and copy_id of every copy."""
-    rows = saved(keyed(chunks), "canon")
+    rows = keyed(chunks)
     groups = saved(copy_groups(rows), "groups")
     rows = rows.select("id", F.unhex(F.sha2("canon", 256)).alias("key"))
     hot = groups.where(F.col("n") > HOT)  # at most rows / HOT keys
