@@ -83,6 +83,38 @@ def test_near_duplicates_beyond_the_sketch(spark, monkeypatch):
     assert pairs(sketch_bits=12, filter_bits=13) == want
 
 
+def stored(monkeypatch, module):
+    """The tables that MODULE saves from now on, by name."""
+    found, save = {}, module.saved
+
+    def keep(df, what="part"):
+        found[what] = out = save(df, what)
+        return out
+
+    monkeypatch.setattr(module, "saved", keep)
+    return found
+
+
+def test_only_the_rarest_shingles_travel_in_large_collections(spark, monkeypatch):
+    """Also where the counts are of a share of the records in few cells, with the same pairs."""
+    c = spark.read.parquet("/root/testdata/sf0.001/chunks.parquet").where("text is not null").withColumn("canon", canonical.canonical_key(F.col("text"), F.col("language")))
+    pairs = lambda **o: {tuple(sorted(r)) for r in neardup.similar_classes(c, 3, 7, **o)[1].collect()}
+    want = pairs()
+    found = stored(monkeypatch, neardup)
+    monkeypatch.setattr(neardup, "LOAD", 64)
+    assert want and pairs(sketch_bits=7) == want
+    sizes = found["classes"].agg(F.max(F.size("rare") - (F.col("n") - F.ceil(0.7 * F.col("n")))).alias("over"), F.sum(F.size("rare")).alias("rare")).first()
+    assert sizes["over"] <= neardup.NEED and sizes["rare"] > 0 and "rarest" not in found
+
+
+def test_one_of_two_classes_looks_into_the_others_group(spark, monkeypatch):
+    found = stored(monkeypatch, neardup)
+    base = " ".join(f"w{i}" for i in range(30))
+    c = rows(spark, [dict(id=f"{i}", text=f"{base} tail{i}") for i in range(2)]).withColumn("canon", canonical.canonical_key(F.col("text")))
+    assert list(map(tuple, neardup.near_duplicate_rows(c, 3, 7).collect())) == [("0", "1")]
+    assert found["opened"].count() == 1
+
+
 def test_similar(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(12, 96))
