@@ -156,6 +156,59 @@ def test_equal_vectors_take_the_smallest_ids(spark):
     assert {(a, b) for a, b in got if b != "zz"} == {(f"{i:02d}", f"{j:02d}") for j in range(30) for i in range(6) if i < j and (i < 5 or j <= 5)}
 
 
+def shuffled(spark, run):
+    """Bytes that RUN writes to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList()
+    quantiles = sc._gateway.new_array(sc._jvm.double, 0)
+    total = lambda: sum(x.shuffleWriteBytes() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(none, False, False, quantiles, none)))
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = total()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+def test_similar_shuffles_vectors_once_a_block(spark):
+    """In one block no query brings its vector, no vector is shuffled to find that it is the only one of its kind, and names
+    are shuffled only to be joined: two kilobytes a vector before."""
+    x = np.random.default_rng(3).normal(size=(2000, 96)).astype(np.float32)
+    data = spark.createDataFrame([(hashlib.sha1(b"%d" % i).hexdigest(), [float(v) for v in x[i]]) for i in range(2000)], "id string, embedding array<float>").cache()
+    data.count()
+    sample = 4 * 96 * 2000
+    assert shuffled(spark, lambda: similar.similar_pairs(data).count()) - sample < 1200 * 2000
+
+
+def test_centroids_met_together_share_a_block():
+    rng = np.random.default_rng(2)
+    groups = np.arange(60) % 5
+    met = [set(rng.choice(np.flatnonzero(groups == g), 4, False).tolist()) for g in rng.integers(0, 5, 600)]
+    start = rng.permutation(np.repeat(np.arange(5), 12)).astype(np.int32)
+    touched = lambda b: np.mean([len({int(b[c]) for c in mine}) for mine in met])
+    got = similar.gathered(start, met, np.ones(60))
+    assert touched(got) < 0.7 * touched(start) and np.bincount(got, minlength=5).max() <= 15
+
+
+def test_similar_names_copies_ties_and_ids_of_several_vectors(spark, monkeypatch):
+    """Against a count over all pairs, with sets broadcast or joined."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(20, 96))
+    x = (np.repeat(centre, 6, 0) + rng.normal(size=(120, 96)) * 0.2).astype(np.float32)
+    x[40:48] = x[40]
+    x[61] = x[60]
+    data = [dict(id=f"{i:03d}", embedding=[float(v) for v in x[i]]) for i in range(120)]
+    data += [dict(id="100", embedding=[float(v) for v in x[3]]), data[7], data[7]]
+    members = sorted({(d["id"], tuple(d["embedding"])) for d in data})
+    u = np.array([m[1] for m in members])
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 5)
+    want = {tuple(sorted((members[i][0], members[j][0]))) for i in range(len(members)) for j in sorted((j for j in range(len(members)) if members[j][1] != members[i][1] or members[j][0] != members[i][0]), key=lambda j: (-s[i, j], members[j][0]))[:5]}
+    for few in (similar.FEW, 0):
+        monkeypatch.setattr(similar, "FEW", few)
+        got = list(map(tuple, similar.similar_pairs(rows(spark, data)).collect()))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_not_hand_written(spark):
     letters = "kqzbxwvjyfghpmdnlrst"
     lib = "\n".join(f"def function_named_{c}(argument_{c}):" for c in letters)
