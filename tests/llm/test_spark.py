@@ -115,6 +115,27 @@ def test_one_of_two_classes_looks_into_the_others_group(spark, monkeypatch):
     assert found["opened"].count() == 1
 
 
+def test_only_members_below_a_class_travel_to_its_group(spark, monkeypatch):
+    """And only rows of classes with a pair, or with rows that are no copies of each other, travel to be paired."""
+    found = stored(monkeypatch, neardup)
+    base = " ".join(f"w{i}" for i in range(30))
+    data = [dict(id="0", text=f"{base} tail0"), dict(id="1", text=f"{base} tail1")] + [dict(id=f"x{i}", text=" ".join(f"v{i}x{j}" for j in range(9))) for i in range(50)]
+    data += [dict(id=f"y{i}", text=f"same words in {x} these rows of the table", language=x) for i, x in enumerate(["ini", "ini"])] + [dict(id="z0", text="a b c d e é"), dict(id="z1", text="a b c d e")]
+    c = rows(spark, data).withColumn("canon", canonical.canonical_key(F.col("text"), F.col("language")))
+    assert sorted(map(tuple, neardup.near_duplicate_rows(c, 3, 7).collect())) == [("0", "1"), ("z0", "z1")]
+    assert found["wanted"].count() == 1 and {"0", "1", "z0", "z1"} <= {r["id"] for r in found["members"].collect()} and found["members"].count() < 12
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.int32])
+def test_sums_travel_small(kind):
+    rng = np.random.default_rng(1)
+    cells = np.minimum(rng.geometric(0.7, 1 << 16) * (rng.random(1 << 16) < 0.2), 200).astype(kind)
+    cells[:3] = np.iinfo(kind).max
+    for x in (cells, np.zeros(64, kind), np.ones(5, kind), np.full(9, 7, kind)):
+        assert (sums.unpacked(sums.packed(x), len(x), kind) == x).all()
+    assert len(sums.packed(cells)) < 0.2 * len(cells)  # twice that by zlib alone at 2 bytes a number
+
+
 def test_similar(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(12, 96))
